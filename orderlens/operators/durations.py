@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import MICROS_PER_UNIT, elapsed, elapsed_micros
+from orderlens.functions.frames import rows_from_columns
 from orderlens.functions.numeric import rnd
-from orderlens.operators.quantiles import exact_quantiles, interpolated, order_statistics
+from orderlens.operators.quantiles import interpolated, order_statistics, quantile_row
 
 
 @dataclass(frozen=True)
@@ -47,27 +48,20 @@ def stage_durations(
     A row takes part when both timestamps are set; nothing is clipped. A span
     without any such row keeps its row, with NULLs.
     """
-    columns = {s.label: (s.micros(), MICROS_PER_UNIT[s.unit]) for s in spans}
-    long = exact_quantiles(df, columns, [0.5, 0.95], digits=None, descend=descend)
-    wide = long.agg(
-        *[
-            F.struct(
-                F.lit(i).alias("_ord"),
-                F.lit(s.label).alias("stage"),
-                rnd(F.max(F.when(F.col("dim") == s.label, F.col("mean"))), digits).alias(names[0]),
-                *[
-                    rnd(
-                        F.max(F.when((F.col("dim") == s.label) & (F.col("prob") == p), F.col("value"))),
-                        digits,
-                    ).alias(name)
-                    for p, name in zip((0.5, 0.95), names[1:])
-                ],
-                F.lit(s.unit).alias("unit"),
-            ).alias(f"_{i}")
+    columns = {f"s{i}": (s.micros(), MICROS_PER_UNIT[s.unit]) for i, s in enumerate(spans)}
+    row = quantile_row(df, columns, {"median": 0.5, "p95": 0.95}, digits=None, descend=descend)
+    return rows_from_columns(
+        row,
+        [
+            {
+                "_ord": F.lit(i),
+                "stage": F.lit(s.label),
+                **{n: rnd(f"s{i}_{field}", digits) for n, field in zip(names, ("mean", "median", "p95"))},
+                "unit": F.lit(s.unit),
+            }
             for i, s in enumerate(spans)
-        ]
+        ],
     )
-    return wide.select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(spans))])))
 
 
 def duration_by(

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import as_struct, planned_input_bytes
+from orderlens.functions.frames import as_struct, gather_row, planned_input_bytes, rows_from_columns
 from orderlens.functions.numeric import rnd
 
 # Below this many source bytes the values are counted directly, in one level.
@@ -28,40 +28,81 @@ CELLS_PER_OCTAVE = 16384
 SECOND_LEVEL_BITS = 20
 
 
-def _coarse_cell(value: Column) -> Column:
-    """Logarithmic cell number, non-decreasing in ``value``."""
-    magnitude = F.log2(F.abs(value).cast("double") + F.lit(1.0))
-    return (F.signum(value.cast("double")) * F.floor(magnitude * F.lit(CELLS_PER_OCTAVE))).cast("bigint")
+# A logarithmic cell number that never decreases as v grows.
+_COARSE = f"cast(signum(double(v)) * floor(log2(abs(double(v)) + 1) * {CELLS_PER_OCTAVE}) as bigint)"
 
+# Cell number inside a known range [low, high], at most 2**(bits + 1) different.
+_FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1.0))) - {SECOND_LEVEL_BITS}))"
 
-def _wanted_ranks(total: Column, probs: Sequence[float]) -> Column:
+_CARRIED = ["first(n) AS n", "first(mean) AS mean", "first(wanted) AS wanted"]
+
+
+def _sql_double(x: float) -> str:
+    return f"double('{float(x)!r}')"
+
+
+def _wanted_ranks(probs: Sequence[float]) -> str:
     """Array of (tag, zero-based rank): tag 2i is the rank below prob i, 2i+1 above."""
-    wanted = []
+    items = []
     for i, p in enumerate(probs):
-        position = (total - 1).cast("double") * F.lit(float(p))
-        for side, rank in enumerate((F.floor(position), F.ceil(position))):
-            wanted.append(F.struct(F.lit(2 * i + side).alias("tag"), rank.cast("bigint").alias("rank")))
-    return F.array(*wanted)
+        position = f"double(n - 1) * {_sql_double(p)}"
+        items.append(f"named_struct('tag', {2 * i}, 'rank', bigint(floor({position})))")
+        items.append(f"named_struct('tag', {2 * i + 1}, 'rank', bigint(ceil({position})))")
+    return f"array({', '.join(items)})"
 
 
-def _cells_with_ranks(cells: DataFrame, parent: Sequence[str], order: str, wanted: Column) -> DataFrame:
+def _cells_with_ranks(cells: DataFrame, parent: str, order: str, wanted: str) -> DataFrame:
     """Keep the cells that contain a wanted rank, with ranks relative to the cell.
 
     The window runs over the cells of one parent, whose number is bounded.
     """
-    running = Window.partitionBy(*parent).orderBy(order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    upto = F.sum("cnt").over(running)
-    framed = cells.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("cnt"))
-    inside = F.filter(
-        wanted, lambda w: (w["rank"] >= F.col("_from")) & (w["rank"] < F.col("_upto"))
-    )
-    kept = framed.withColumn("_hit", inside).filter(F.size("_hit") > 0)
-    relative = F.transform(
-        "_hit", lambda w: F.struct(w["tag"].alias("tag"), (w["rank"] - F.col("_from")).alias("rank"))
+    upto = f"sum(cnt) OVER (PARTITION BY {parent} ORDER BY {order} ROWS UNBOUNDED PRECEDING)"
+    hit = f"filter({wanted}, w -> w.rank >= _upto - cnt AND w.rank < _upto)"
+    relative = "transform(_hit, w -> named_struct('tag', w.tag, 'rank', w.rank - (_upto - cnt)))"
+    kept = cells.selectExpr("*", f"{upto} AS _upto").selectExpr("*", f"{hit} AS _hit").filter("size(_hit) > 0")
+    return kept.drop("wanted").selectExpr("*", f"{relative} AS wanted")
+
+
+def _ranked_values(
+    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], descend: bool | None
+) -> DataFrame:
+    """Rows (d, n, mean, v, tag): the value at every wanted rank of column ``d``."""
+    if descend is None:
+        descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
+    units = df.select(*[c.cast("bigint").alias(f"_v{i}") for i, c in enumerate(columns.values())])
+    pairs = ", ".join(f"named_struct('d', {i}, 'v', _v{i})" for i in range(len(columns)))
+    values = units.selectExpr(f"inline(array({pairs}))").filter("v IS NOT NULL")
+
+    counted = (
+        values.selectExpr("d", "v", f"{_COARSE if descend else 'v'} AS cell")
+        .groupBy("d", "cell")
+        .agg(*map(F.expr, ["count(1) AS cnt", "min(v) AS low", "max(v) AS high", "sum(double(v)) AS _sum"]))
+        .selectExpr(
+            "*", "sum(cnt) OVER (PARTITION BY d) AS n", "sum(_sum) OVER (PARTITION BY d) AS _total"
+        )
+        .selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
     )
-    return kept.withColumn("wanted", relative)
+    found = _cells_with_ranks(counted, "d", "cell", _wanted_ranks(probs))
+    if descend:
+        # Both joins broadcast at most 2 * len(probs) rows per column.
+        coarse = values.selectExpr("d", "v", f"{_COARSE} AS cell")
+        fine = (
+            coarse.join(F.broadcast(found.select("d", "cell", "low", "high", "n", "mean", "wanted")), ["d", "cell"])
+            .selectExpr("d", "cell", f"{_FINE} AS sub", "v", "n", "mean", "wanted")
+            .groupBy("d", "cell", "sub")
+            .agg(*map(F.expr, ["count(1) AS cnt", "min(v) AS low", "max(v) AS high", *_CARRIED]))
+        )
+        found = _cells_with_ranks(fine, "d, cell", "sub", "wanted")
+        single = (
+            coarse.join(
+                F.broadcast(found.select("d", "cell", "sub", "low", "high", "n", "mean", "wanted")), ["d", "cell"]
+            )
+            .filter("v BETWEEN low AND high")
+            .groupBy("d", "cell", "sub", F.col("v").alias("low"))
+            .agg(*map(F.expr, ["count(1) AS cnt", *_CARRIED]))
+        )
+        found = _cells_with_ranks(single, "d, cell, sub", "low", "wanted")
+    return found.selectExpr("d", "n", "mean", "low AS v", "explode(wanted.tag) AS tag")
 
 
 def order_statistics(
@@ -77,79 +118,25 @@ def order_statistics(
     to 2**53; NULLs are ignored. ``descend`` forces or forbids the multi-level
     search, by default it is chosen from the size of the sources.
     """
-    if descend is None:
-        descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
-    names = list(columns)
-    pairs = [F.struct(F.lit(i).alias("d"), columns[n].cast("bigint").alias("v")) for i, n in enumerate(names)]
-    values = df.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
-
-    everything = Window.partitionBy("d")
-    first_key = _coarse_cell(F.col("v")) if descend else F.col("v")
-    counted = (
-        values.groupBy("d", first_key.alias("cell"))
+    hits = _ranked_values(df, columns, probs, descend)
+    names = ", ".join(f"'{n}'" for n in columns)
+    prob = f"element_at(array({', '.join(map(_sql_double, probs))}), p + 1)"
+    both = (
+        hits.groupBy("d", F.expr("int(floor(tag / 2)) AS p"))
         .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.min("v").alias("low"),
-            F.max("v").alias("high"),
-            F.sum(F.col("v").cast("double")).alias("_sum"),
-        )
-        .withColumn("n", F.sum("cnt").over(everything))
-        .withColumn("mean", F.sum("_sum").over(everything) / F.col("n"))
-    )
-    found = _cells_with_ranks(counted, ["d"], "cell", _wanted_ranks(F.col("n"), probs))
-
-    if descend:
-        facts = ["n", "mean", "wanted"]
-        # Both joins broadcast at most 2 * len(probs) rows per column.
-        shift = "shiftright(v - low, greatest(0, cast(ceil(log2(high - low + 1.0)) as int) - {bits}))"
-        fine = (
-            values.withColumn("cell", _coarse_cell(F.col("v")))
-            .join(F.broadcast(found.select("d", "cell", "low", "high", *facts)), ["d", "cell"])
-            .withColumn("sub", F.expr(shift.format(bits=SECOND_LEVEL_BITS)))
-            .groupBy("d", "cell", "sub")
-            .agg(
-                F.count(F.lit(1)).alias("cnt"),
-                F.min("v").alias("low"),
-                F.max("v").alias("high"),
-                *[F.first(c).alias(c) for c in facts],
+            *map(
+                F.expr,
+                [
+                    "first(n) AS n",
+                    "first(mean) AS mean",
+                    "max(v) FILTER (WHERE tag % 2 = 0) AS lo",
+                    "max(v) FILTER (WHERE tag % 2 = 1) AS hi",
+                ],
             )
         )
-        found = _cells_with_ranks(fine, ["d", "cell"], "sub", F.col("wanted"))
-        narrow = F.broadcast(found.select("d", "cell", "sub", "low", "high", *facts))
-        single = (
-            values.withColumn("cell", _coarse_cell(F.col("v")))
-            .join(narrow, ["d", "cell"])
-            .filter(F.col("v").between(F.col("low"), F.col("high")))
-            .groupBy("d", "cell", "sub", "v")
-            .agg(F.count(F.lit(1)).alias("cnt"), *[F.first(c).alias(c) for c in facts])
-        )
-        found = _cells_with_ranks(single, ["d", "cell", "sub"], "v", F.col("wanted"))
-    else:
-        found = found.withColumn("v", F.col("cell"))
-
-    hits = found.select("d", "n", "mean", "v", F.explode("wanted.tag").alias("tag"))
-    lower, upper = F.col("tag") % 2 == 0, F.col("tag") % 2 == 1
-    prob = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("p") + 1)
-    position = (F.col("n") - 1).cast("double") * F.col("prob")
-    return (
-        hits.groupBy("d", F.floor(F.col("tag") / 2).cast("int").alias("p"))
-        .agg(
-            F.first("n").alias("n"),
-            F.first("mean").alias("mean"),
-            F.max(F.when(lower, F.col("v"))).alias("lo"),
-            F.max(F.when(upper, F.col("v"))).alias("hi"),
-        )
-        .withColumn("prob", prob)
-        .select(
-            F.element_at(F.array(*[F.lit(n) for n in names]), F.col("d") + 1).alias("dim"),
-            "prob",
-            "n",
-            "mean",
-            "lo",
-            "hi",
-            (position - F.floor(position)).alias("frac"),
-        )
+        .selectExpr(f"element_at(array({names}), d + 1) AS dim", f"{prob} AS prob", "n", "mean", "lo", "hi")
     )
+    return both.selectExpr("*", "double(n - 1) * prob - floor(double(n - 1) * prob) AS frac")
 
 
 def interpolated(lo: Column, hi: Column, frac: Column) -> Column:
@@ -163,16 +150,15 @@ def exact_quantiles(
     digits: int | None = 6,
     descend: bool | None = None,
 ) -> DataFrame:
-    """Continuous quantiles as ``(dim, prob, n, mean, value)``.
+    """Continuous quantiles as ``(dim, prob, n, mean, value)`` rows.
 
     ``columns`` maps a name to a BIGINT expression and the number of those units
     per output unit, e.g. 100 for cents or 3.6e9 for microseconds in hours.
     ``digits`` rounds away the last-bit noise of the interpolation.
     """
     stats = order_statistics(df, {n: c for n, (c, _) in columns.items()}, probs, descend)
-    units = F.element_at(
-        F.create_map(*[F.lit(x) for n, (_, u) in columns.items() for x in (n, float(u))]), F.col("dim")
-    )
+    pairs = ", ".join(f"'{n}', {_sql_double(u)}" for n, (_, u) in columns.items())
+    units = F.expr(f"element_at(map({pairs}), dim)")
     value = interpolated(F.col("lo"), F.col("hi"), F.col("frac")) / units
     value = value if digits is None else rnd(value, digits)
     return stats.select("dim", "prob", "n", (F.col("mean") / units).alias("mean"), value.alias("value"))
@@ -185,20 +171,28 @@ def quantile_row(
     digits: int | None = 6,
     descend: bool | None = None,
 ) -> DataFrame:
-    """The same quantiles as one row with a column ``<name>_<suffix>`` each.
+    """The same quantiles as one row, with a column ``<name>_<suffix>`` each.
 
-    ``probs`` maps suffix to probability.
+    ``probs`` maps suffix to probability. ``<name>_n`` and ``<name>_mean`` hold
+    the number of values and their mean.
     """
-    long = exact_quantiles(df, columns, list(probs.values()), digits, descend)
-    return long.agg(
-        *[
-            F.max(F.when((F.col("dim") == name) & (F.col("prob") == F.lit(float(p))), F.col("value"))).alias(
-                f"{name}_{suffix}"
-            )
-            for name in columns
-            for suffix, p in probs.items()
-        ]
-    )
+    hits = _ranked_values(df, {n: c for n, (c, _) in columns.items()}, list(probs.values()), descend)
+    picked = []
+    for d in range(len(columns)):
+        picked += [f"max(n) FILTER (WHERE d = {d}) AS n{d}", f"max(mean) FILTER (WHERE d = {d}) AS mean{d}"]
+        picked += [f"max(v) FILTER (WHERE d = {d} AND tag = {t}) AS v{d}_{t}" for t in range(2 * len(probs))]
+    out = []
+    for d, (name, (_, unit)) in enumerate(columns.items()):
+        unit = _sql_double(unit)
+        out += [f"coalesce(n{d}, 0) AS {name}_n", f"mean{d} / {unit} AS {name}_mean"]
+        for i, (suffix, p) in enumerate(probs.items()):
+            position = f"(double(n{d} - 1) * {_sql_double(p)})"
+            lo, hi = f"v{d}_{2 * i}", f"v{d}_{2 * i + 1}"
+            value = f"(double({lo}) + ({position} - floor({position})) * double({hi} - {lo})) / {unit}"
+            if digits is not None:
+                value = f"double(round(cast({value} as decimal(28,10)), {digits}))"
+            out.append(f"{value} AS {name}_{suffix}")
+    return hits.selectExpr(*picked).selectExpr(*out)
 
 
 def quantile_struct(*args, **kwargs) -> Column:
@@ -223,28 +217,19 @@ def describe_numeric(
     """Count, mean, sample deviation, min, quartiles and max per column, in rows.
 
     Quartiles are exact and interpolated, unlike those of ``DataFrame.summary``.
+    ``_ord`` is the position of the statistic.
     """
-    quartiles = {"min": 0.0, "25%": 0.25, "50%": 0.5, "75%": 0.75, "max": 1.0}
-    long = exact_quantiles(df, columns, list(quartiles.values()), digits)
+    stats = {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}
+    row = quantile_row(df, columns, stats, digits)
     spread = df.agg(
-        *[F.stddev_samp(c.cast("double") / F.lit(float(u))).alias(n) for n, (c, u) in columns.items()]
-    )
-    deviation = spread.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("dim"), F.col(n).alias("std")) for n in columns]))
-    )
-    at = lambda p: F.max(F.when(F.col("prob") == F.lit(p), F.col("value")))
-    wide = long.groupBy("dim").agg(
-        F.first("n").cast("double").alias("count"),
-        rnd(F.first("mean"), digits).alias("mean"),
-        *[at(p).alias(name) for name, p in quartiles.items()],
-    ).join(deviation.withColumn("std", rnd("std", digits)), "dim")
-    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    rows = wide.select(
-        "dim",
-        F.posexplode(
-            F.array(*[F.struct(F.lit(s).alias("stat"), F.col(f"`{s}`").alias("x")) for s in stats])
-        ).alias("_ord", "cell"),
+        *[F.stddev_samp(c.cast("double") / F.lit(float(u))).alias(f"{n}_std") for n, (c, u) in columns.items()]
     )
-    return rows.groupBy("_ord", F.col("cell.stat").alias("stat")).agg(
-        *[F.max(F.when(F.col("dim") == n, F.col("cell.x"))).alias(n) for n in columns]
+    shown = {"count": "n", "mean": "mean", "std": "std", "min": "min", "25%": "q25", "50%": "q50", "75%": "q75", "max": "max"}
+    both = gather_row(df.sparkSession, [row, spread])
+    return rows_from_columns(
+        both,
+        [
+            {"_ord": F.lit(i), "stat": F.lit(stat), **{n: rnd(F.col(f"{n}_{field}"), digits) for n in columns}}
+            for i, (stat, field) in enumerate(shown.items())
+        ],
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.frames import as_struct, inline_table, rows_from_columns
-from orderlens.functions.labels import ascending_score, descending_score
+from orderlens.functions.labels import ascending_score, descending_score, named
 from orderlens.functions.numeric import major_units, minor_units, percent, rnd
 from orderlens.operators.quantiles import describe_numeric, quantile_row, quantile_struct
 from orderlens.operators.shares import distribution, share_of_total
@@ -107,8 +107,8 @@ def qcut_scores(base: DataFrame, q: int = 5, descend: bool | None = None) -> Dat
     edges = as_struct(quantile_edges(base, q, descend))
     scored = base.withColumn("_edges", edges)
 
-    def edge_list(name: str) -> list[Column]:
-        return [F.col(f"_edges.{name}_e{i}") for i in range(q + 1)]
+    def edge_list(name: str) -> list[str]:
+        return [f"_edges.{name}_e{i}" for i in range(q + 1)]
 
     return scored.withColumns(
         {
@@ -136,20 +136,20 @@ def segment_by_median(scored: DataFrame, rules: Mapping[tuple[bool, bool, bool],
     """Add the segment code: a score at or above its median counts as high.
 
     Scores have a handful of values, so the medians are counted in one level.
+    The three answers form a position in the list of codes, which keeps each
+    score expression in the plan once.
     """
     scores = {c: (F.col(c), 1.0) for c in DIMENSION_LABELS}
     medians = quantile_struct(scored, scores, {"med": 0.5}, descend=False)
-    high = [F.col(c) >= F.col(f"_medians.{c}_med") for c in DIMENSION_LABELS]
-    code = F.lit(None).cast("string")
-    for flags, name in rules.items():
-        matches = [h if wanted else ~h for h, wanted in zip(high, flags)]
-        code = F.when(matches[0] & matches[1] & matches[2], F.lit(name)).otherwise(code)
+    high = [(F.col(c) >= F.col(f"_medians.{c}_med")).cast("int") for c in DIMENSION_LABELS]
+    position = high[0] * 4 + high[1] * 2 + high[2] + 1
+    codes = [rules[bool(i & 4), bool(i & 2), bool(i & 1)] for i in range(8)]
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), position)
     return scored.withColumn("_medians", medians).withColumn("segment_code", code).drop("_medians")
 
 
-def segment_label(code: Column | str, labels: Mapping[str, str] = SEGMENT_LABELS) -> Column:
-    pairs = [F.lit(x) for pair in labels.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), F.col(code) if isinstance(code, str) else code)
+def segment_label(code: str, labels: Mapping[str, str] = SEGMENT_LABELS) -> Column:
+    return named(code, labels)
 
 
 def rfm_segments(model: CommerceModel, q: int = 5, as_of: date | None = None) -> DataFrame:
