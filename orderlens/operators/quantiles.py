@@ -1,7 +1,8 @@
 """Exact quantiles of whole-number columns without gathering values in one task.
 
 The built-in ``percentile`` keeps every distinct value in the memory of a single
-task. Here the wanted ranks are found by counting: values are counted in coarse,
+task, which is right for inputs of a checked small size only. Beyond that the
+wanted ranks are found by counting: values are counted in coarse,
 order-preserving cells, the few cells that hold a wanted rank are kept, and only
 those are counted again in finer cells, until a cell is one value. Counting has
 a map-side step, so repeated values collapse early and no cell size depends on
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from orderlens.functions.frames import as_struct, gather_row, planned_input_bytes, rows_from_columns
 from orderlens.functions.numeric import rnd
 
-# Below this many source bytes the values are counted directly, in one level.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+# Up to this many source bytes the built-in ``percentile`` is used: its map of
+# distinct values then fits in one task with room to spare.
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 # First level: this many cells per power of two. Second level: at most 2**21
 # cells inside one first-level cell. For magnitudes up to 2**53 a second-level
@@ -174,24 +176,48 @@ def quantile_row(
     """The same quantiles as one row, with a column ``<name>_<suffix>`` each.
 
     ``probs`` maps suffix to probability. ``<name>_n`` and ``<name>_mean`` hold
-    the number of values and their mean.
+    the number of values and their mean. ``descend`` forces the counting search
+    (True) or the built-in aggregate (False).
     """
-    hits = _ranked_values(df, {n: c for n, (c, _) in columns.items()}, list(probs.values()), descend)
-    picked = []
-    for d in range(len(columns)):
-        picked += [f"max(n) FILTER (WHERE d = {d}) AS n{d}", f"max(mean) FILTER (WHERE d = {d}) AS mean{d}"]
-        picked += [f"max(v) FILTER (WHERE d = {d} AND tag = {t}) AS v{d}_{t}" for t in range(2 * len(probs))]
+    if descend is None:
+        descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
+    build = _searched_row if descend else _percentile_row
+    raw = build(df, [c for c, _ in columns.values()], list(probs.values()))
     out = []
     for d, (name, (_, unit)) in enumerate(columns.items()):
-        unit = _sql_double(unit)
-        out += [f"coalesce(n{d}, 0) AS {name}_n", f"mean{d} / {unit} AS {name}_mean"]
-        for i, (suffix, p) in enumerate(probs.items()):
-            position = f"(double(n{d} - 1) * {_sql_double(p)})"
-            lo, hi = f"v{d}_{2 * i}", f"v{d}_{2 * i + 1}"
-            value = f"(double({lo}) + ({position} - floor({position})) * double({hi} - {lo})) / {unit}"
+        out += [f"n{d} AS {name}_n", f"mean{d} / {_sql_double(unit)} AS {name}_mean"]
+        for i, suffix in enumerate(probs):
+            value = f"q{d}[{i}] / {_sql_double(unit)}"
             if digits is not None:
                 value = f"double(round(cast({value} as decimal(28,10)), {digits}))"
             out.append(f"{value} AS {name}_{suffix}")
+    return raw.selectExpr(*out)
+
+
+def _percentile_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float]) -> DataFrame:
+    """Count, mean and quantile array of each column, by the built-in aggregate."""
+    points = f"array({', '.join(map(_sql_double, probs))})"
+    units = df.select(*[c.cast("bigint").alias(f"v{d}") for d, c in enumerate(columns)])
+    parts = []
+    for d in range(len(columns)):
+        parts += [f"count(v{d}) AS n{d}", f"avg(v{d}) AS mean{d}", f"percentile(v{d}, {points}) AS q{d}"]
+    return units.selectExpr(*parts)
+
+
+def _searched_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float]) -> DataFrame:
+    """The same row from the counting search."""
+    named = {f"c{d}": column for d, column in enumerate(columns)}
+    hits = _ranked_values(df, named, probs, True)
+    picked, out = [], []
+    for d in range(len(columns)):
+        picked += [f"max(n) FILTER (WHERE d = {d}) AS n{d}", f"max(mean) FILTER (WHERE d = {d}) AS mean{d}"]
+        picked += [f"max(v) FILTER (WHERE d = {d} AND tag = {t}) AS v{d}_{t}" for t in range(2 * len(probs))]
+        values = []
+        for i, p in enumerate(probs):
+            position = f"(double(n{d} - 1) * {_sql_double(p)})"
+            low, high = f"v{d}_{2 * i}", f"v{d}_{2 * i + 1}"
+            values.append(f"double({low}) + ({position} - floor({position})) * double({high} - {low})")
+        out += [f"coalesce(n{d}, 0L) AS n{d}", f"mean{d}", f"array({', '.join(values)}) AS q{d}"]
     return hits.selectExpr(*picked).selectExpr(*out)
 
 
