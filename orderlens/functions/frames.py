@@ -44,6 +44,16 @@ def gather_row(spark: SparkSession, frames: Sequence[DataFrame]) -> DataFrame:
     return spark.range(1).select(*structs).select(*fields)
 
 
+def distinct_count(df: DataFrame, column: str, name: str) -> DataFrame:
+    """One row with the number of distinct non-NULL values of a column.
+
+    Grouping first spreads the values over all tasks with a map-side step. It
+    also keeps the optimizer from merging several such counts into a single
+    aggregate, which would multiply every input row.
+    """
+    return df.select(column).filter(F.col(column).isNotNull()).distinct().agg(F.count(F.lit(1)).alias(name))
+
+
 def planned_input_bytes(df: DataFrame) -> int:
     """Total size Spark knows for the sources under ``df``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.functions.frames import distinct_count
 from orderlens.functions.dates import month_start, months_between_labels
 from orderlens.functions.numeric import rate, rnd
 
@@ -76,7 +77,7 @@ def retention_curve(
     rows = retention if max_offset is None else retention.filter(F.col("offset_month") <= max_offset)
     if not zero_fill:
         return rows.groupBy("offset_month").agg(rnd(F.avg("retention_pct"), digits).alias(out))
-    cohorts = retention.agg(F.countDistinct("cohort_month").alias("n"))
+    cohorts = distinct_count(retention, "cohort_month", "n")
     return (
         rows.groupBy("offset_month")
         .agg(F.sum("retention_pct").alias("_sum"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import gather_row
+from orderlens.functions.frames import distinct_count, gather_row
 from orderlens.functions.numeric import major_units, minor_units, percent, rnd
 from orderlens.sources.model import CommerceModel
 
@@ -21,7 +21,7 @@ def order_metrics(model: CommerceModel) -> DataFrame:
 
 
 def person_metrics(model: CommerceModel) -> DataFrame:
-    return model.identities.agg(F.countDistinct("customer_unique_id").alias("unique_customers"))
+    return distinct_count(model.identities, "customer_unique_id", "unique_customers")
 
 
 def _per_order(model: CommerceModel) -> DataFrame:

@@ -34,7 +34,7 @@ SECOND_LEVEL_BITS = 20
 _COARSE = f"cast(signum(double(v)) * floor(log2(abs(double(v)) + 1) * {CELLS_PER_OCTAVE}) as bigint)"
 
 # Cell number inside a known range [low, high], at most 2**(bits + 1) different.
-_FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1.0))) - {SECOND_LEVEL_BITS}))"
+_FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1D))) - {SECOND_LEVEL_BITS}))"
 
 _CARRIED = ["first(n) AS n", "first(mean) AS mean", "first(wanted) AS wanted"]
 

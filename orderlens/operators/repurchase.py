@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import gather_row
+from orderlens.functions.frames import distinct_count, gather_row
 from orderlens.functions.labels import bucket_index, bucket_label
 from orderlens.functions.numeric import percent, rnd
 from orderlens.operators.shares import distribution, share_of_total, with_total_row
@@ -24,15 +24,15 @@ TOTAL_LABEL = "合计"
 def identity_audit(identities: DataFrame) -> DataFrame:
     """Distinct order identities against distinct persons.
 
-    Each distinct count reads its own column; together they cost one pass over
-    the two columns and avoid the row multiplication of several distinct counts
-    in one aggregate.
+    Each distinct count reads its own column only, so together they cost one
+    pass over the two columns.
     """
-    orders = identities.agg(
-        F.countDistinct("customer_id").alias("distinct_customer_ids"), F.count(F.lit(1)).alias("total_rows")
-    )
-    persons = identities.agg(F.countDistinct("customer_unique_id").alias("distinct_unique_ids"))
-    return gather_row(identities.sparkSession, [orders, persons]).select(
+    frames = [
+        distinct_count(identities, "customer_id", "distinct_customer_ids"),
+        distinct_count(identities, "customer_unique_id", "distinct_unique_ids"),
+        identities.agg(F.count(F.lit(1)).alias("total_rows")),
+    ]
+    return gather_row(identities.sparkSession, frames).select(
         "distinct_customer_ids",
         "distinct_unique_ids",
         "total_rows",
