@@ -39,11 +39,8 @@ def elapsed_micros(start: Column | str, end: Column | str) -> Column:
     Uses the interval between the two timestamps, so the session time zone and
     its clock changes play no part.
     """
-    gap = as_column(end) - as_column(start)
-    fraction = F.extract(F.lit("SECOND"), gap) % F.lit(1)
-    return gap.cast("bigint") * F.lit(1_000_000).cast("bigint") + (
-        fraction * F.lit(1_000_000)
-    ).cast("bigint")
+    seconds = (as_column(end) - as_column(start)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
 def elapsed(start: Column | str, end: Column | str, unit: str) -> Column:

@@ -9,9 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import MICROS_PER_UNIT, elapsed, elapsed_micros
-from orderlens.functions.frames import rows_from_columns
+from orderlens.functions.frames import planned_input_bytes, rows_from_columns
 from orderlens.functions.numeric import rnd
-from orderlens.operators.quantiles import interpolated, order_statistics, quantile_row
+from orderlens.operators.quantiles import (
+    SMALL_INPUT_BYTES,
+    interpolated,
+    quantile_row,
+    statistics_of_counts,
+    value_counts,
+)
 
 
 @dataclass(frozen=True)
@@ -82,7 +88,9 @@ def box_stats(df: DataFrame, spans: Sequence[Span], clip: float = 0.99, digits:
     """
     probs = {"clip": clip, "q1": 0.25, "median": 0.5, "q3": 0.75}
     units = {s.label: float(MICROS_PER_UNIT[s.unit]) for s in spans}
-    stats = order_statistics(df, {s.label: s.micros() for s in spans}, list(probs.values()))
+    counts = value_counts(df, [s.micros() for s in spans])
+    descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
+    stats = statistics_of_counts(counts, [s.label for s in spans], list(probs.values()), descend)
 
     def pick(name: str, field: str) -> Column:
         return F.max(F.when(F.col("prob") == F.lit(probs[name]), F.col(field)))
@@ -101,15 +109,17 @@ def box_stats(df: DataFrame, spans: Sequence[Span], clip: float = 0.99, digits:
         "dim", "n", "cap", "q1", "median", "q3", (F.col("q1") - reach).alias("floor"), (F.col("q3") + reach).alias("roof")
     )
 
-    pairs = [F.struct(F.lit(s.label).alias("dim"), s.micros().alias("v")) for s in spans]
-    values = df.select(F.inline(F.array(*pairs))).filter(F.col("v").isNotNull())
-    # One row per span is broadcast.
-    kept = values.join(F.broadcast(box), "dim").withColumn("x", F.least(F.col("v").cast("double"), F.col("cap")))
+    labels = F.array(*[F.lit(s.label) for s in spans])
+    position = (F.array_position(labels, F.col("dim")) - 1).cast("int")
+    # One row per span is broadcast; the value counts are the ones ranked above.
+    kept = counts.join(F.broadcast(box.withColumn("d", position)), "d").withColumn(
+        "x", F.least(F.col("v").cast("double"), F.col("cap"))
+    )
     inside = F.col("x").between(F.col("floor"), F.col("roof"))
     whiskers = kept.groupBy("dim", "n", "cap", "q1", "median", "q3").agg(
         F.least(F.min(F.when(inside, F.col("x"))), F.col("q1")).alias("whisker_low"),
         F.greatest(F.max(F.when(inside, F.col("x"))), F.col("q3")).alias("whisker_high"),
-        F.count(F.when(~inside, F.lit(1))).alias("fliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("cnt"))), F.lit(0)).cast("bigint").alias("fliers"),
     )
     unit = F.element_at(F.create_map(*[F.lit(x) for kv in units.items() for x in kv]), F.col("dim"))
     return whiskers.select(

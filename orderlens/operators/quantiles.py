@@ -30,8 +30,12 @@ CELLS_PER_OCTAVE = 16384
 SECOND_LEVEL_BITS = 20
 
 
-# A logarithmic cell number that never decreases as v grows.
-_COARSE = f"cast(signum(double(v)) * floor(log2(abs(double(v)) + 1) * {CELLS_PER_OCTAVE}) as bigint)"
+# A logarithmic cell number that never decreases as v grows. The coalesce states
+# that it is never NULL: otherwise each level would get its own NULL filter
+# pushed below the shared shuffle, which could then not be reused.
+_COARSE = (
+    f"coalesce(cast(signum(double(v)) * floor(log2(abs(double(v)) + 1) * {CELLS_PER_OCTAVE}) as bigint), 0L)"
+)
 
 # Cell number inside a known range [low, high], at most 2**(bits + 1) different.
 _FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1D))) - {SECOND_LEVEL_BITS}))"
@@ -65,34 +69,37 @@ def _cells_with_ranks(cells: DataFrame, parent: str, order: str, wanted: str) ->
     return kept.drop("wanted").selectExpr("*", f"{relative} AS wanted")
 
 
-def _ranked_values(
-    df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], descend: bool | None
-) -> DataFrame:
-    """Rows (d, n, mean, v, tag): the value at every wanted rank of column ``d``."""
-    if descend is None:
-        descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
-    units = df.select(*[c.cast("bigint").alias(f"_v{i}") for i, c in enumerate(columns.values())])
+def value_counts(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
+    """Rows (d, v, cnt): how often value ``v`` occurs in the ``d``-th column.
+
+    Every level of the search starts from this frame. Its shuffle is written
+    once and read by all levels, so whatever lies below runs once.
+    """
+    units = df.select(*[c.cast("bigint").alias(f"_v{i}") for i, c in enumerate(columns)])
     pairs = ", ".join(f"named_struct('d', {i}, 'v', _v{i})" for i in range(len(columns)))
     values = units.selectExpr(f"inline(array({pairs}))").filter("v IS NOT NULL")
+    return values.groupBy("d", "v").agg(F.count(F.lit(1)).alias("cnt"))
 
-    counted = (
-        values.selectExpr("d", "v", f"{_COARSE if descend else 'v'} AS cell")
-        .groupBy("d", "cell")
-        .agg(*map(F.expr, ["count(1) AS cnt", "min(v) AS low", "max(v) AS high", "sum(double(v)) AS _sum"]))
-        .selectExpr(
-            "*", "sum(cnt) OVER (PARTITION BY d) AS n", "sum(_sum) OVER (PARTITION BY d) AS _total"
+
+def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) -> DataFrame:
+    """Rows (d, n, mean, v, tag): the value at every wanted rank of column ``d``."""
+    totals = ["sum(cnt) OVER (PARTITION BY d) AS n", "sum(_sum) OVER (PARTITION BY d) AS _total"]
+    if descend:
+        coarse = counts.selectExpr("d", "v", "cnt", f"{_COARSE} AS cell")
+        cells = coarse.groupBy("d", "cell").agg(
+            *map(F.expr, ["sum(cnt) AS cnt", "min(v) AS low", "max(v) AS high", "sum(double(v) * cnt) AS _sum"])
         )
-        .selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
-    )
-    found = _cells_with_ranks(counted, "d", "cell", _wanted_ranks(probs))
+    else:
+        cells = counts.selectExpr("d", "v AS cell", "cnt", "v AS low", "v AS high", "double(v) * cnt AS _sum")
+    cells = cells.selectExpr("*", *totals).selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
+    found = _cells_with_ranks(cells, "d", "cell", _wanted_ranks(probs))
     if descend:
         # Both joins broadcast at most 2 * len(probs) rows per column.
-        coarse = values.selectExpr("d", "v", f"{_COARSE} AS cell")
         fine = (
             coarse.join(F.broadcast(found.select("d", "cell", "low", "high", "n", "mean", "wanted")), ["d", "cell"])
-            .selectExpr("d", "cell", f"{_FINE} AS sub", "v", "n", "mean", "wanted")
+            .selectExpr("d", "cell", f"{_FINE} AS sub", "v", "cnt", "n", "mean", "wanted")
             .groupBy("d", "cell", "sub")
-            .agg(*map(F.expr, ["count(1) AS cnt", "min(v) AS low", "max(v) AS high", *_CARRIED]))
+            .agg(*map(F.expr, ["sum(cnt) AS cnt", "min(v) AS low", "max(v) AS high", *_CARRIED]))
         )
         found = _cells_with_ranks(fine, "d, cell", "sub", "wanted")
         single = (
@@ -100,13 +107,16 @@ def _ranked_values(
                 F.broadcast(found.select("d", "cell", "sub", "low", "high", "n", "mean", "wanted")), ["d", "cell"]
             )
             .filter("v BETWEEN low AND high")
-            .groupBy("d", "cell", "sub", F.col("v").alias("low"))
-            .agg(*map(F.expr, ["count(1) AS cnt", *_CARRIED]))
+            .selectExpr("d", "cell", "sub", "v AS low", "cnt", "n", "mean", "wanted")
         )
         found = _cells_with_ranks(single, "d, cell, sub", "low", "wanted")
     return found.selectExpr("d", "n", "mean", "low AS v", "explode(wanted.tag) AS tag")
 
 
+def _descends(df: DataFrame, descend: bool | None) -> bool:
+    return planned_input_bytes(df) > SMALL_INPUT_BYTES if descend is None else descend
+
+
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -120,8 +130,16 @@ def order_statistics(
     to 2**53; NULLs are ignored. ``descend`` forces or forbids the multi-level
     search, by default it is chosen from the size of the sources.
     """
-    hits = _ranked_values(df, columns, probs, descend)
-    names = ", ".join(f"'{n}'" for n in columns)
+    counts = value_counts(df, list(columns.values()))
+    return statistics_of_counts(counts, list(columns), probs, _descends(df, descend))
+
+
+def statistics_of_counts(
+    counts: DataFrame, names: Sequence[str], probs: Sequence[float], descend: bool
+) -> DataFrame:
+    """:func:`order_statistics` on value counts that already exist."""
+    hits = _ranked_values(counts, probs, descend)
+    labels = ", ".join(f"'{n}'" for n in names)
     prob = f"element_at(array({', '.join(map(_sql_double, probs))}), p + 1)"
     both = (
         hits.groupBy("d", F.expr("int(floor(tag / 2)) AS p"))
@@ -136,7 +154,7 @@ def order_statistics(
                 ],
             )
         )
-        .selectExpr(f"element_at(array({names}), d + 1) AS dim", f"{prob} AS prob", "n", "mean", "lo", "hi")
+        .selectExpr(f"element_at(array({labels}), d + 1) AS dim", f"{prob} AS prob", "n", "mean", "lo", "hi")
     )
     return both.selectExpr("*", "double(n - 1) * prob - floor(double(n - 1) * prob) AS frac")
 
@@ -179,9 +197,7 @@ def quantile_row(
     the number of values and their mean. ``descend`` forces the counting search
     (True) or the built-in aggregate (False).
     """
-    if descend is None:
-        descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
-    build = _searched_row if descend else _percentile_row
+    build = _searched_row if _descends(df, descend) else _percentile_row
     raw = build(df, [c for c, _ in columns.values()], list(probs.values()))
     out = []
     for d, (name, (_, unit)) in enumerate(columns.items()):
@@ -206,8 +222,7 @@ def _percentile_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[fl
 
 def _searched_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float]) -> DataFrame:
     """The same row from the counting search."""
-    named = {f"c{d}": column for d, column in enumerate(columns)}
-    hits = _ranked_values(df, named, probs, True)
+    hits = _ranked_values(value_counts(df, columns), probs, True)
     picked, out = [], []
     for d in range(len(columns)):
         picked += [f"max(n) FILTER (WHERE d = {d}) AS n{d}", f"max(mean) FILTER (WHERE d = {d}) AS mean{d}"]
