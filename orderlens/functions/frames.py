@@ -63,3 +63,16 @@ def planned_input_bytes(df: DataFrame) -> int:
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast when all sources of ``df`` together fit Spark's own limit.
+
+    Spark multiplies sizes when it estimates a join, so a lookup that is itself
+    a small join looks huge and would force a shuffle of the fact table. Only
+    for frames that are no larger than their sources, e.g. lookups joined to
+    lookups. Beyond the limit nothing is hinted: Spark then joins by shuffle and
+    splits skewed partitions at run time.
+    """
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(df) if planned_input_bytes(df) <= limit else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.functions.frames import broadcast_if_small
 from orderlens.functions.numeric import major_units, minor_units, percent, rnd
 from orderlens.operators.lookups import translate
 from orderlens.operators.shares import top_k
@@ -25,7 +26,7 @@ def _items_with_category(model: CommerceModel, drop_null: bool = False) -> DataF
     products = product_categories(model)
     if drop_null:
         products = products.filter(F.col("category").isNotNull())
-    return model.order_items.join(products, "product_id")
+    return model.order_items.join(broadcast_if_small(products), "product_id")
 
 
 def category_performance(model: CommerceModel, k: int | None = 20, drop_null: bool = False) -> DataFrame:

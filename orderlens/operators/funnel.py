@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import rows_from_columns
+from orderlens.functions.frames import broadcast_if_small, rows_from_columns
 from orderlens.functions.numeric import percent
 from orderlens.operators.shares import top_k
 from orderlens.sources.model import StateLookup
@@ -74,7 +74,7 @@ def funnel_by(
     )
     if lookup:
         totals = [count_name, *[f"_{c}" for c in stages]]
-        sums = sums.join(lookup.frame, lookup.key).groupBy(group).agg(
+        sums = sums.join(broadcast_if_small(lookup.frame), lookup.key).groupBy(group).agg(
             *[F.sum(name).alias(name) for name in totals]
         )
     out = sums.filter(F.col(count_name) >= min_rows).select(

@@ -28,6 +28,7 @@ def local_session(cores: int | str = "*", app: str = "orderlens", **settings: st
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     local = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.shuffle.partitions": "8",
     }

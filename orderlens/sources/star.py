@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import inline_table
+from orderlens.functions.frames import broadcast_if_small, inline_table
 from orderlens.sources.model import CommerceModel, StateLookup
 
 # Fixed value: the order status that plays the part of "delivered".
@@ -89,7 +89,7 @@ def model_from_star(spark: SparkSession, directory: str) -> CommerceModel:
         # Persons are made distinct before the join, so one heavy buyer costs one row.
         person_states=identities.select("customer_unique_id")
         .distinct()
-        .join(person_state, "customer_unique_id", "left"),
+        .join(broadcast_if_small(person_state), "customer_unique_id", "left"),
         delivered_status=STAR_DELIVERED,
         row_sources={"customers": identities, "orders": headers},
     )
