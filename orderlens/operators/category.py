@@ -22,61 +22,54 @@ def product_categories(model: CommerceModel) -> DataFrame:
     ).select("product_id", "category")
 
 
-def _items_with_category(model: CommerceModel, drop_null: bool = False) -> DataFrame:
-    products = product_categories(model)
-    if drop_null:
-        products = products.filter(F.col("category").isNotNull())
-    return model.order_items.join(broadcast_if_small(products), "product_id")
+def _order_categories(model: CommerceModel, products: DataFrame) -> DataFrame:
+    """Distinct (order, category) pairs of the items."""
+    items = model.order_items.select("order_id", "product_id")
+    return items.join(broadcast_if_small(products), "product_id").select("order_id", "category").distinct()
 
 
-def category_performance(model: CommerceModel, k: int | None = 20, drop_null: bool = False) -> DataFrame:
+def category_performance(
+    model: CommerceModel, k: int | None = 20, drop_null: bool = False, details: bool = True
+) -> DataFrame:
     """Orders, revenue, mean price and products per category, largest first.
 
-    Items are summed per (category, order) first, which makes the order count a
-    plain row count. The product count comes from the distinct product column.
-    Neither needs the row multiplication of two distinct counts in one aggregate.
+    Money is summed per product before the category is attached, so a product
+    that holds a large part of the items reaches the join as one row. Orders are
+    counted on distinct (order, category) pairs. Each side reads two columns of
+    the items, and neither needs the row multiplication of two distinct counts
+    in one aggregate. ``details=False`` leaves out mean price and products.
     """
     products = product_categories(model)
-    per_order = (
-        _items_with_category(model, drop_null)
-        .groupBy("category", "order_id")
-        .agg(F.sum(minor_units("price")).alias("_units"), F.count("price").alias("_items"))
+    if drop_null:
+        products = products.filter(F.col("category").isNotNull())
+    per_product = model.order_items.groupBy("product_id").agg(
+        F.sum(minor_units("price")).alias("_units"), F.count("price").alias("_items")
     )
-    sales = per_order.groupBy("category").agg(
-        F.count(F.lit(1)).alias("order_cnt"),
-        F.sum("_units").alias("_units"),
-        F.sum("_items").alias("_items"),
+    sales = (
+        per_product.join(products, "product_id")
+        .groupBy("category")
+        .agg(
+            F.sum("_units").alias("_units"),
+            F.sum("_items").alias("_items"),
+            F.count(F.lit(1)).alias("product_cnt"),
+        )
     )
-    sold = model.order_items.select("product_id").distinct()
-    assortment = (
-        products.join(sold, "product_id")
+    orders = (
+        _order_categories(model, products)
         .groupBy(F.col("category").alias("_category"))
-        .agg(F.count(F.lit(1)).alias("product_cnt"))
+        .agg(F.count(F.lit(1)).alias("order_cnt"))
     )
     revenue = major_units("_units")
-    out = sales.join(assortment, F.col("category").eqNullSafe(F.col("_category"))).select(
-        "category",
-        "order_cnt",
-        rnd(revenue, 2).alias("total_revenue"),
+    extra = [
         rnd(F.try_divide(revenue, F.col("_items").cast("double")), 2).alias("avg_price"),
-        "product_cnt",
+        F.col("product_cnt"),
+    ]
+    out = sales.join(orders, F.col("category").eqNullSafe(F.col("_category"))).select(
+        "category", "order_cnt", rnd(revenue, 2).alias("total_revenue"), *(extra if details else [])
     )
     return top_k(out, "order_cnt", k, ["category"]) if k else out
 
 
-def category_sales(model: CommerceModel, k: int = 15, drop_null: bool = True) -> DataFrame:
-    """Orders and revenue per category only, for the dashboard."""
-    per_order = (
-        _items_with_category(model, drop_null)
-        .groupBy("category", "order_id")
-        .agg(F.sum(minor_units("price")).alias("_units"))
-    )
-    sales = per_order.groupBy("category").agg(
-        F.count(F.lit(1)).alias("order_cnt"), rnd(major_units(F.sum("_units")), 2).alias("total_revenue")
-    )
-    return top_k(sales, "order_cnt", k, ["category"])
-
-
 def category_repurchase(model: CommerceModel, min_buyers: int = 500, k: int | None = 15) -> DataFrame:
     """Buyers per category and the share who ordered from it at least twice.
 
@@ -84,9 +77,9 @@ def category_repurchase(model: CommerceModel, min_buyers: int = 500, k: int | No
     orders, so the per-person count is a plain row count and no distinct is
     needed further up.
     """
-    pairs = _items_with_category(model).select("order_id", "category").distinct()
     per_person = (
-        pairs.join(model.purchases().select("order_id", "customer_unique_id"), "order_id")
+        _order_categories(model, product_categories(model))
+        .join(model.purchases().select("order_id", "customer_unique_id"), "order_id")
         .groupBy("customer_unique_id", "category")
         .agg(F.count(F.lit(1)).alias("n"))
     )

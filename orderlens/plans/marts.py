@@ -80,7 +80,7 @@ def build_marts(
         "monthly": lambda: monthly_trend(model.delivered(model.orders), month_label(TS)),
         "status": lambda: distribution(model.orders, "order_status", "order_cnt"),
         "review_dist": lambda: distribution(model.order_reviews, "review_score", "_n").drop("_n"),
-        "categories": lambda: category.category_sales(model),
+        "categories": lambda: category.category_performance(model, k=15, drop_null=True, details=False),
         "states": states,
         "funnel": stage_rows,
         "stage_times": stage_times,
