@@ -35,6 +35,11 @@ def table_overview(model: CommerceModel, shown: int = 8) -> DataFrame:
     return reduce(DataFrame.unionByName, details)
 
 
+def persons_by_state(model: CommerceModel) -> DataFrame:
+    """Distinct persons per state, from the distinct (person, state) pairs."""
+    return model.person_states.groupBy("customer_state").agg(F.count("customer_unique_id").alias("customer_cnt"))
+
+
 def coverage(df: DataFrame, ts: str) -> DataFrame:
     """First and last value of a timestamp column."""
     return df.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

@@ -37,12 +37,17 @@ def distribution(
     avg_of: str | None = None,
     avg_name: str = "avg_value",
     digits: int = 2,
+    total: str = "window",
 ) -> DataFrame:
-    """Rows per key, their share, and optionally the mean of a money column."""
+    """Rows per key, their share, and optionally the mean of a money column.
+
+    ``total`` is passed to :func:`share_of_total`; use ``"scalar"`` for keys
+    whose number grows with the data.
+    """
     measures = [F.count(F.lit(1)).alias(count_name)]
     if avg_of is not None:
         measures.append(rnd(exact_avg(avg_of), digits).alias(avg_name))
-    return share_of_total(df.groupBy(key).agg(*measures), count_name, digits=digits)
+    return share_of_total(df.groupBy(key).agg(*measures), count_name, digits=digits, total=total)
 
 
 def with_total_row(df: DataFrame, key: str, measure: str, label: str, pct: str = "pct") -> DataFrame:

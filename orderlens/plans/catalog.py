@@ -87,8 +87,7 @@ def repeat_distribution(m, p):
 
 
 def _state_share(m: CommerceModel) -> DataFrame:
-    persons = m.person_states.groupBy("customer_state").agg(F.count(PERSON).alias("customer_cnt"))
-    return share_of_total(persons, "customer_cnt")
+    return share_of_total(profile.persons_by_state(m), "customer_cnt")
 
 
 @named("q01_07_state_share", "overview", "Persons and share per state")
@@ -241,6 +240,11 @@ def segment_heatmap(m, p):
     return rfm.segment_heatmap(rfm.segment_summary(rfm.rfm_segments(m), keep_empty=True))
 
 
+@named("n3_frequency_first20", "segmentation", "The twenty lowest order counts")
+def frequency_first20(m, p):
+    return rfm.frequency_distribution(rfm.order_counts(m)).select("frequency", "user_cnt").orderBy("frequency").limit(20)
+
+
 @named("n3_one_vs_many", "segmentation", "One-time against repeat persons")
 def one_vs_many(m, p):
     return rfm.one_vs_many(rfm.order_counts(m))
@@ -323,6 +327,11 @@ def dashboard_repurchase(m, p):
     return _mart("repurchase")(m, p)
 
 
+@named("d_review_dist", "dashboard", "Share per review score")
+def dashboard_reviews(m, p):
+    return _mart("review_dist")(m, p).orderBy("review_score")
+
+
 @named("d_categories15", "dashboard", "Top 15 named categories")
 def dashboard_categories(m, p):
     return _mart("categories")(m, p)
@@ -358,6 +367,11 @@ def dashboard_cohort(m, p):
     return _mart("cohort")(m, p).orderBy("cohort_month", "offset_month")
 
 
+@named("d_cohort_matrix", "dashboard", "Heatmap cells of the rounded retention")
+def dashboard_cohort_matrix(m, p):
+    return _mart("cohort_matrix")(m, p).orderBy("cohort_month")
+
+
 @named("d_avg_retention12", "dashboard", "Mean of rounded retention up to month 12")
 def dashboard_avg_retention(m, p):
     return _mart("avg_retention")(m, p).orderBy("offset_month")

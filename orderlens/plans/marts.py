@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import month_label
-from orderlens.functions.numeric import percent
+from orderlens.functions.numeric import minor_units, percent
 from orderlens.operators import category, cohort, durations, kpi, profile, repurchase, rfm
 from orderlens.operators.funnel import funnel, funnel_by
 from orderlens.operators.quantiles import exact_quantiles
@@ -68,10 +68,6 @@ def build_marts(
         )
         return cumulative_share(buckets, "_ord", digits=1)
 
-    def states() -> DataFrame:
-        persons = model.person_states.groupBy("customer_state").agg(F.count(PERSON).alias("customer_cnt"))
-        return top_k(persons, "customer_cnt", 10, ["customer_state"])
-
     return {
         "kpis": lambda: kpi.dashboard_kpis(model),
         "repurchase": lambda: repurchase.repurchase_rate(model.purchases()).select(
@@ -81,7 +77,7 @@ def build_marts(
         "status": lambda: distribution(model.orders, "order_status", "order_cnt"),
         "review_dist": lambda: distribution(model.order_reviews, "review_score", "_n").drop("_n"),
         "categories": lambda: category.category_performance(model, k=15, drop_null=True, details=False),
-        "states": states,
+        "states": lambda: top_k(profile.persons_by_state(model), "customer_cnt", 10, ["customer_state"]),
         "funnel": stage_rows,
         "stage_times": stage_times,
         "funnel_by_state": lambda: funnel_by(
@@ -149,12 +145,10 @@ def report_facts(model: CommerceModel) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("value"),
     )
     performance = category.category_performance(model, k=20)
-    order_units = model.order_items.groupBy("order_id").agg(
-        F.sum(F.rint(F.col("price") * 100.0).cast("bigint")).alias("units")
-    )
+    order_units = model.order_items.groupBy("order_id").agg(F.sum(minor_units("price")).alias("units"))
     median = exact_quantiles(order_units, {"median_order_value": (F.col("units"), 100.0)}, [0.5], digits=2)
     times = durations.stage_durations(model.orders, P.STAGE_SPANS)
-    states = model.person_states.groupBy("customer_state").agg(F.count(PERSON).alias("n"))
+    states = profile.persons_by_state(model)
     payments = distribution(model.order_payments, "payment_type", "n")
     reviews = distribution(model.order_reviews, "review_score", "n")
     named = category.product_categories(model).filter(F.col("category").isNotNull())
@@ -167,7 +161,7 @@ def report_facts(model: CommerceModel) -> DataFrame:
         labelled("category", "top_by_revenue", top_k(performance, "total_revenue", 3, ["category"]), "category", "total_revenue"),
         facts("behaviour", repurchase.repurchase_rate(model.purchases())),
         facts("behaviour", repurchase.repeat_stats(model.identities)),
-        labelled("behaviour", "top_state", top_k(states, "n", 1, ["customer_state"]), "customer_state", "n"),
+        labelled("behaviour", "top_state", top_k(states, "customer_cnt", 1, ["customer_state"]), "customer_state", "customer_cnt"),
         facts("trade", kpi.basket_metrics(model)),
         labelled("trade", "median", median, "dim", "value"),
         labelled("trade", "payment_pct", top_k(payments, "n", 2, ["payment_type"]), "payment_type", "pct"),

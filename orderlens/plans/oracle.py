@@ -430,6 +430,9 @@ def oracle_statements() -> dict[str, str]:
         "q03_05_frequency_distribution": sql(
             f"SELECT frequency, CAST(n AS BIGINT) AS user_cnt, {PCT('n', freq_total)} AS pct FROM freq", "freq"
         ),
+        "n3_frequency_first20": sql(
+            "SELECT frequency, CAST(n AS BIGINT) AS user_cnt FROM freq ORDER BY frequency LIMIT 20", "freq"
+        ),
         "n3_rfm_table": sql(
             "SELECT person AS customer_unique_id, recency, frequency, monetary, CAST(rs AS INT) AS R_score, "
             "CAST(fs AS INT) AS F_score, CAST(ms AS INT) AS M_score, concat(rs, fs, ms) AS RFM_score, "
@@ -489,6 +492,10 @@ def oracle_statements() -> dict[str, str]:
             f"SELECT COUNT(*) AS total_users, COUNT(*) FILTER (WHERE n > 1) AS repurchase_users, {_RATE} FROM perdone",
             "perdone",
         ),
+        "d_review_dist": sql(
+            f"SELECT review_score, pct FROM ({_share('CAST(l_quantity AS INT) % 5 + 1', 'lineitem', 'review_score', 'n')})"
+        ),
+        "d_cohort_matrix": sql(_matrix(R("pct", 2)), "ret"),
         "d_categories15": sql(
             _category_top(f"category, orders AS order_cnt, {R('revenue', 2)} AS total_revenue", 15, "category IS NOT NULL"),
             "cat",

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from orderlens import model_from_csv
+from orderlens import model_from_csv, model_from_parquet, write_roles
 from orderlens.operators import category, kpi, repurchase, rfm
 from orderlens.plans.catalog import CATALOG, run_catalog
 from orderlens.plans.marts import report_facts, write_marts, write_report_facts
@@ -124,6 +124,16 @@ def test_views_allow_plain_sql(spark, shop):
     assert spark.sql("SELECT count(*) FROM t_orders WHERE order_status = 'delivered'").first()[0] == 3
 
 
+def test_columnar_copy_gives_the_same_results(spark, shop, tmp_path):
+    write_roles(shop, str(tmp_path))
+    copy = model_from_parquet(spark, str(tmp_path))
+    assert copy.orders.schema == shop.orders.schema
+    assert rows(kpi.dashboard_kpis(copy)) == rows(kpi.dashboard_kpis(shop))
+    assert rows(rfm.rfm_base(copy)) == rows(rfm.rfm_base(shop))
+    plan = copy.purchases()._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(order_status,delivered)" in plan
+
+
 def test_every_named_query_runs_on_csv(shop):
     params = Parameters(min_cohort=1, min_rows=1, min_buyers=1)
     for query_id, _, df in run_catalog(shop, params=params):
