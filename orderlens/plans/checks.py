@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.functions.dates import month_label
 from orderlens.functions.numeric import exact_sum, minor_units, rnd
 from orderlens.operators import category, cohort, durations, kpi, reconcile, repurchase, rfm
 from orderlens.operators.durations import Span
 from orderlens.operators.funnel import funnel
 from orderlens.operators.lookups import dedup_by_key
 from orderlens.operators.quantiles import describe_numeric, exact_quantiles, winsorize
-from orderlens.operators.shares import avg_of_group, monthly_trend, share_of_total
-from orderlens.functions.dates import month_label
+from orderlens.operators.shares import avg_of_group, share_of_total
 from orderlens.plans.marts import build_marts, report_facts
 from orderlens.plans.oracle import PCT, R, sql
 from orderlens.plans.parameters import STAR_PARAMETERS
