@@ -40,7 +40,7 @@ _COARSE = (
 # Cell number inside a known range [low, high], at most 2**(bits + 1) different.
 _FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1D))) - {SECOND_LEVEL_BITS}))"
 
-_CARRIED = ["first(n) AS n", "first(mean) AS mean", "first(wanted) AS wanted"]
+_CARRIED = ["first(n) AS n", "first(mean) AS mean"]
 
 
 def _sql_double(x: float) -> str:
@@ -98,7 +98,8 @@ def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) ->
         fine = (
             coarse.join(F.broadcast(found.select("d", "cell", "low", "high", "n", "mean", "wanted")), ["d", "cell"])
             .selectExpr("d", "cell", f"{_FINE} AS sub", "v", "cnt", "n", "mean", "wanted")
-            .groupBy("d", "cell", "sub")
+            # An array can be a hash key but not a hash buffer, so it rides along as a key.
+            .groupBy("d", "cell", "sub", "wanted")
             .agg(*map(F.expr, ["sum(cnt) AS cnt", "min(v) AS low", "max(v) AS high", *_CARRIED]))
         )
         found = _cells_with_ranks(fine, "d, cell", "sub", "wanted")
