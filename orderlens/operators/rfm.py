@@ -102,6 +102,25 @@ def quantile_edges(base: DataFrame, q: int = 5, descend: bool | None = None) ->
     return quantile_row(base, rfm_measures(), {f"e{i}": i / q for i in range(q + 1)}, descend=descend)
 
 
+def qcut_score(
+    df: DataFrame,
+    column: str,
+    units: tuple[Column, float],
+    q: int = 5,
+    reverse: bool = False,
+    out: str = "score",
+    descend: bool | None = None,
+) -> DataFrame:
+    """Score one column by its own quantile bins, merged where edges coincide.
+
+    ``units`` is the column as whole numbers and how many of them make one unit.
+    """
+    row = quantile_row(df, {"x": units}, {f"e{i}": i / q for i in range(q + 1)}, descend=descend)
+    edges = [f"_edges.x_e{i}" for i in range(q + 1)]
+    score = descending_score(column, edges) if reverse else ascending_score(column, edges)
+    return df.withColumn("_edges", as_struct(row)).withColumn(out, score).drop("_edges")
+
+
 def qcut_scores(base: DataFrame, q: int = 5, descend: bool | None = None) -> DataFrame:
     """Quantile scores with merged bins: recency reversed, the others ascending."""
     edges = as_struct(quantile_edges(base, q, descend))

@@ -13,7 +13,7 @@ from orderlens.operators.quantiles import (
     quantile_row,
     winsorize,
 )
-from orderlens.operators.rfm import qcut_scores
+from orderlens.operators.rfm import qcut_score, qcut_scores
 
 PROBS = [0.0, 0.05, 0.2, 0.5, 0.77, 0.95, 1.0]
 
@@ -130,6 +130,17 @@ def test_scores_follow_merged_quantile_bins(spark, values, descend):
     assert [r["R_score"] for r in scored] == [top - b for b in bins]
 
 
+def test_single_column_score_matches_pandas_bins(spark):
+    values = [0.5, 0.5, 0.75, 1.25, 1.25, 1.25, 2.0, 9.5, 9.75, 12.0, 40.25]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    units = ((F.col("x") * 100).cast("bigint"), 100.0)
+    bins = pd.qcut(pd.Series(values), 4, labels=False, duplicates="drop")
+    up = qcut_score(df, "x", units, q=4).orderBy("i").collect()
+    down = qcut_score(df, "x", units, q=4, reverse=True, descend=True).orderBy("i").collect()
+    assert [r["score"] for r in up] == [b + 1 for b in bins]
+    assert [r["score"] for r in down] == [bins.max() + 1 - b for b in bins]
+
+
 def test_constant_column_has_no_bins(spark):
     row = qcut_scores(base_frame(spark, [4] * 10)).first()
     assert (row["R_score"], row["F_score"], row["M_score"]) == (0, 1, 1)
