@@ -1,28 +1,68 @@
-"""From raw documents to packed training sequences, one stage after the other."""
+"""From raw documents to packed training sequences, one stage after the other.
+
+All stages but the last return the columns of `documents`. Rows without id pass
+every stage; rows that share an id share its fate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orderlens.llm.decontaminate import contaminated
+from orderlens.llm.line_dedup import deduplicated_lines
 from orderlens.llm.near_dedup import near_duplicates
+from orderlens.llm.packing import packed_documents
 from orderlens.llm.store import saved
+from orderlens.llm.toxicity import fit_severity, severity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model rejects go."""
+    model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return severity(docs, model, docs.columns).where("not rejected").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks that an earlier document holds go; a document of nothing else goes with them."""
+    cleaned = deduplicated_lines(docs).where("lines_removed = 0 or trim(text) <> ''")
+    length = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", length).select(docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group stays."""
-    fate = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(fate, "doc_id", "left_anti").select(docs.columns)
+    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of the documents that are left, each piece with its place in a sequence."""
+    return packed_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("minhash near-dedup", near_dedup),
+    ("toxicity", toxicity),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
 ]
 
-# Trained models, hashing and tokenizers are beyond SQL.
+# A trained model, alignment and a tokenizer are beyond SQL.
 ORACLE_SQL: str | None = None
 
 

@@ -26,6 +26,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
+_TOKEN = np.zeros(256, dtype=bool)
+_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LINE = np.ones(256, dtype=bool)
 _LINE[10] = False
 _WORD_CODE = _BYTE_CODE[_LOWER]
@@ -51,6 +53,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return row(_BASE), row(_BASE_INVERSE)
 
 
+def _power_size(size: int) -> int:
+    return 1 << max(21, int(size).bit_length())
+
+
 @dataclass
 class Units:
     """Words or lines of a slice of texts; unit i covers bytes start[i]:end[i] of the slice."""
@@ -62,6 +68,12 @@ class Units:
     bounds: np.ndarray  # units of text k are bounds[k]:bounds[k + 1]
     text_start: np.ndarray  # byte where text k starts in the slice, one more entry at the end
     data: np.ndarray
+    total: np.ndarray  # running polynomial of the slice's bytes
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the first `size` bytes of each unit."""
+        end = np.minimum(self.end, self.start + size)
+        return mix((self.total[end] - self.total[self.start]) * _powers(_power_size(len(self.data)))[1][self.start])
 
     def __len__(self) -> int:
         return len(self.bounds) - 1
@@ -104,18 +116,22 @@ def _units(column: pa.Array, inside: np.ndarray, code: np.ndarray) -> Iterator[U
             after[edges[edges > 0] - 1] = False
         start = np.flatnonzero(held & ~before)
         end = np.flatnonzero(held & ~after) + 1
-        size = 1 << max(21, int(len(part)).bit_length())
-        power, inverse = _powers(size)
+        power, inverse = _powers(_power_size(len(part)))
         total = np.zeros(len(part) + 1, dtype=_U)
         np.cumsum(code[part] * power[: len(part)], out=total[1:])
         hashes = mix((total[end] - total[start]) * inverse[start])
-        yield Units(lo, hashes, start, end, np.searchsorted(start, at), at, part)
+        yield Units(lo, hashes, start, end, np.searchsorted(start, at), at, part, total)
 
 
 def words(column: pa.Array) -> Iterator[Units]:
     return _units(column, _WORD, _WORD_CODE)
 
 
+def tokens(column: pa.Array) -> Iterator[Units]:
+    """Runs of letters, digits and characters beyond ASCII, in lower case: words without their punctuation."""
+    return _units(column, _TOKEN, _WORD_CODE)
+
+
 def lines(column: pa.Array) -> Iterator[Units]:
     """Lines that hold at least one byte; empty lines are no unit."""
     return _units(column, _LINE, _BYTE_CODE)
