@@ -201,5 +201,5 @@ def severity(docs: DataFrame, model: SeverityModel, keep: Sequence[str] = ("doc_
     keep = [c for c in keep if c not in RESULTS]
     rows = docs.select(F.col("text").cast("string").alias("__scored"), *keep)
     fields = [rows.schema[c] for c in keep]
-    added = StructType().add("severity", "double").add("p_toxic", "double").add("grade", "int").add("rejected", "boolean")
+    added = StructType().add("severity", "double").add("p_toxic", "double").add("grade", "integer").add("rejected", "boolean")
     return rows.mapInArrow(_scores(model), StructType([*fields, *added.fields]))
