@@ -20,10 +20,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,11 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 20_000
 MAX_ROUNDS = 8
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 1_000_000
+
+
+# Fixed value: how the vocabulary splits lower-case text into words.
+_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class _Words(dict):
@@ -44,13 +50,42 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
 
-    def __missing__(self, word: str) -> bytes:
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode all strings of `texts` that are not known yet as one text, and cut its ids at the ends of words."""
         if len(self) >= _CACHE_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.array(ids, dtype="<u4").tobytes()
-        return out
+        new = set().union(*texts) - self.keys()
+        split = [(w, *_stem(w)) for w in new]
+        stems = list({x for _, stem, tail in split for x in (stem, tail)} - self.keys())
+        plain = [w for w in stems if "<|" not in w]
+        words = np.array([1 if w.isalpha() else len(_PRETOKEN.findall(normalize("NFC", w).lower())) for w in plain], dtype=np.int64)
+        ids = self._ids(" ".join(plain))
+        cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) == words.sum() + 1:
+            data, at = ids.tobytes(), (4 * cuts[np.append(0, np.cumsum(words))]).tolist()
+            self.update(zip(plain, (data[lo:hi] for lo, hi in zip(at, at[1:]))))
+        for word in stems:
+            if word not in self:
+                self[word] = self._ids(word).tobytes()
+        self.update([(w, self[stem] + self[tail]) for w, stem, tail in split])
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """A word of Latin letters in lower case and the mark behind it; anything else as it is.
+
+    The vocabulary lower-cases, and a single mark behind letters is a word of its own.
+    """
+    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
+    if base.isalpha() and (base.isascii() or (max(base) <= "\u024f" and "\u0130" not in base)):
+        return base.lower(), tail
+    return word, ""
 
 
 @lru_cache(maxsize=1)
@@ -58,7 +93,9 @@ def _word_ids(path: str) -> _Words:
     return _Words(path)
 
 
-_BREAKS = str.maketrans("\n\r\t", "   ")
+def _chunks(text: str) -> list[str]:
+    """`text` cut at plain white space; other white space is left to the tokenizer."""
+    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
 
 
 def _piece_batches(path: str, length: int):
@@ -66,13 +103,15 @@ def _piece_batches(path: str, length: int):
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_ids(path).__getitem__
+        known = _word_ids(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                texts = [_chunks(text or "") for text in part.column(1).to_pylist()]
+                known.learn(texts)
                 doc, piece, start, size, ids = [], [], [], [], []
-                for row, text in enumerate(part.column(1)):
-                    found = b"".join(map(known, (text.as_py() or "").translate(_BREAKS).split(" "))) + end
+                for row, words in enumerate(texts):
+                    found = b"".join(map(known.__getitem__, words)) + end
                     for k in range(0, len(found), 4 * length):
                         held = found[k : k + 4 * length]
                         doc.append(row)
