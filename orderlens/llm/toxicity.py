@@ -72,8 +72,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(rows, pa.list_(pa.int64())),
-                pa.array(counts, pa.list_(pa.int64())),
+                pa.array([x.astype(np.int32).tobytes() for x in rows], pa.binary()),
+                pa.array([x.astype(np.int32).tobytes() for x in counts], pa.binary()),
             ],
             names=["grade", "buckets", "counts"],
         )
@@ -89,7 +89,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> list:
     chosen = first("grade > 0", SAMPLE_TOXIC).unionByName(first("grade <= 0", SAMPLE_CLEAN))
     text = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     read = text.join(F.broadcast(chosen), "id").select("grade", "text")
-    return read.mapInArrow(_count_batches, "grade int, buckets array<long>, counts array<long>").collect()
+    return read.mapInArrow(_count_batches, "grade int, buckets binary, counts binary").collect()
 
 
 def _telling(toxic: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -110,13 +110,15 @@ def _halved(grade: np.ndarray, row: np.ndarray, mass: np.ndarray) -> np.ndarray:
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
-    sample = sorted((r["grade"], tuple(r["buckets"]), tuple(r["counts"])) for r in _sample(docs, labels))
+    # Packed bytes keep the sample small on the driver; sorted, as tasks end in any order.
+    sample = sorted((r["grade"], bytes(r["buckets"]), bytes(r["counts"])) for r in _sample(docs, labels))
     grade = np.array([g for g, _, _ in sample], dtype=np.int64)
     if not (grade > 0).any():
         return SeverityModel(np.zeros(1 << BITS), np.array([50.0]))
-    row = np.repeat(np.arange(len(sample)), [len(b) for _, b, _ in sample])
-    col = np.array([x for _, b, _ in sample for x in b], dtype=np.int64)
-    count = np.array([x for _, _, c in sample for x in c], dtype=float)
+    row = np.repeat(np.arange(len(sample), dtype=np.int32), [len(b) // 4 for _, b, _ in sample])
+    col = np.frombuffer(b"".join(b for _, b, _ in sample), np.int32)
+    count = np.frombuffer(b"".join(c for _, _, c in sample), np.int32)
+    del sample
     telling = _telling(grade > 0, row, col)
     used = np.flatnonzero(telling)
     keep = telling[col]
