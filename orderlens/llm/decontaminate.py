@@ -71,7 +71,7 @@ class Items:
 
     def hits(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """(place of the word, seed number) of every seed in a slice of texts, by place."""
-        at, which = [], []
+        at, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n in self.lengths:
             rolled, whole = grams(units, n)
             maybe = np.flatnonzero(self.sieve[rolled >> np.uint64(64 - _FILTER_BITS)] & whole)

@@ -55,7 +55,7 @@ class _Words(dict):
         self.ends[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode all strings of `texts` that are not known yet as one text, and cut its ids at the ends of words."""

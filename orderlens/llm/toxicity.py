@@ -106,7 +106,8 @@ def _halved(grade: np.ndarray, row: np.ndarray, mass: np.ndarray) -> np.ndarray:
     """Grades 0, 1, 2 out of 0 and 1: toxic rows by their mass of telling features, at the median."""
     toxic = grade > 0
     total = np.bincount(row, mass, minlength=len(grade))
-    return np.where(toxic, 1 + (total > np.median(total[toxic])), 0)
+    high = (total >= np.median(total[toxic])) & (total > total[toxic].min())
+    return np.where(toxic, 1 + high, 0)
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame) -> SeverityModel:
