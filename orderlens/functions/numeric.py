@@ -29,25 +29,34 @@ def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
     return rnd(rate(part, whole), digits)
 
 
-def minor_units(amount: Column | str, digits: int = 2) -> Column:
+# Amounts are added up as whole numbers of this many decimals: unit prices, tax
+# lines and converted currencies have more than two.
+MONEY_DIGITS = 6
+MONEY_UNIT = float(10**MONEY_DIGITS)
+
+
+def minor_units(amount: Column | str, digits: int = MONEY_DIGITS) -> Column:
     """An amount with ``digits`` decimals as a whole number of its smallest unit."""
     return F.rint(as_column(amount) * F.lit(float(10**digits))).cast("bigint")
 
 
-def major_units(units: Column | str, digits: int = 2) -> Column:
+def major_units(units: Column | str, digits: int = MONEY_DIGITS) -> Column:
     return as_column(units).cast("double") / F.lit(float(10**digits))
 
 
-def exact_sum(amount: Column | str, digits: int = 2) -> Column:
-    """Sum of a money column, exact and independent of task order.
+def total_units(units: Column | str) -> Column:
+    """Sum of minor units with room for any number of rows."""
+    return F.sum(as_column(units).cast("decimal(20,0)"))
+
+
+def exact_sum(amount: Column | str, digits: int = MONEY_DIGITS) -> Column:
+    """Sum of a money column, exact to ``digits`` decimals and independent of task order.
 
-    The running total is a BIGINT of minor units: it stays in generated code
-    and a re-run task gives the same total. ANSI mode turns an overflow into an
-    error rather than a wrong number.
+    Amounts are rounded to ``digits`` decimals row by row, the total is not.
     """
-    return major_units(F.sum(minor_units(amount, digits)), digits)
+    return major_units(total_units(minor_units(amount, digits)), digits)
 
 
-def exact_avg(amount: Column | str, digits: int = 2) -> Column:
-    total = F.sum(minor_units(amount, digits))
+def exact_avg(amount: Column | str, digits: int = MONEY_DIGITS) -> Column:
+    total = total_units(minor_units(amount, digits))
     return F.try_divide(major_units(total, digits), F.count(as_column(amount)).cast("double"))

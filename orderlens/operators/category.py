@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.frames import broadcast_if_small
-from orderlens.functions.numeric import major_units, minor_units, percent, rnd
+from orderlens.functions.numeric import major_units, minor_units, percent, rnd, total_units
 from orderlens.operators.lookups import translate
 from orderlens.operators.shares import top_k
 from orderlens.sources.model import CommerceModel
@@ -49,7 +49,7 @@ def category_performance(
         per_product.join(products, "product_id")
         .groupBy("category")
         .agg(
-            F.sum("_units").alias("_units"),
+            total_units("_units").alias("_units"),
             F.sum("_items").alias("_items"),
             F.count(F.lit(1)).alias("product_cnt"),
         )

@@ -50,13 +50,13 @@ def cohort_retention(counts: DataFrame, min_size: int = 50, digits: int | None =
 
 
 def retention_matrix(
-    retention: DataFrame, value: str = "retention_pct", max_offset: int = 12, digits: int | None = 1
+    retention: DataFrame, value: str = "retention_pct", months: int = 12, digits: int | None = 1
 ) -> DataFrame:
-    """Wide form ``m0 .. m<max_offset-1>`` per cohort label; absent cells are NULL.
+    """Wide form ``m0 .. m<months-1>`` per cohort label; absent cells are NULL.
 
     The offsets are given, so no extra job looks for the pivot values.
     """
-    offsets = list(range(max_offset))
+    offsets = list(range(months))
     label = F.date_format("cohort_month", "yyyy-MM").alias("cohort_month")
     wide = retention.groupBy(label).pivot("offset_month", offsets).agg(F.max(value))
     cells = [F.col(f"`{i}`") if digits is None else rnd(F.col(f"`{i}`"), digits) for i in offsets]
@@ -72,7 +72,7 @@ def retention_curve(
 ) -> DataFrame:
     """Mean retention per offset over the cohorts that have that offset.
 
-    ``zero_fill`` divides by the number of all cohorts instead.
+    ``max_offset`` is the last offset taken. ``zero_fill`` divides by the number of all cohorts instead.
     """
     rows = retention if max_offset is None else retention.filter(F.col("offset_month") <= max_offset)
     if not zero_fill:

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import MICROS_PER_UNIT, elapsed, elapsed_micros
-from orderlens.functions.frames import planned_input_bytes, rows_from_columns
+from orderlens.functions.frames import rows_from_columns
 from orderlens.functions.numeric import rnd
 from orderlens.operators.quantiles import (
-    SMALL_INPUT_BYTES,
     interpolated,
     quantile_row,
     statistics_of_counts,
@@ -47,7 +46,7 @@ def stage_durations(
     spans: Sequence[Span],
     names: Sequence[str] = ("avg_hours", "median_hours", "p95_hours"),
     digits: int = 1,
-    descend: bool | None = None,
+    descend: bool = True,
 ) -> DataFrame:
     """Mean, median and 95th percentile per span, each in the span's own unit.
 
@@ -89,8 +88,7 @@ def box_stats(df: DataFrame, spans: Sequence[Span], clip: float = 0.99, digits:
     probs = {"clip": clip, "q1": 0.25, "median": 0.5, "q3": 0.75}
     units = {s.label: float(MICROS_PER_UNIT[s.unit]) for s in spans}
     counts = value_counts(df, [s.micros() for s in spans])
-    descend = planned_input_bytes(df) > SMALL_INPUT_BYTES
-    stats = statistics_of_counts(counts, [s.label for s in spans], list(probs.values()), descend)
+    stats = statistics_of_counts(counts, [s.label for s in spans], list(probs.values()), descend=True)
 
     def pick(name: str, field: str) -> Column:
         return F.max(F.when(F.col("prob") == F.lit(probs[name]), F.col(field)))

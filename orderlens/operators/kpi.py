@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.frames import distinct_count, gather_row
-from orderlens.functions.numeric import major_units, minor_units, percent, rnd
+from orderlens.functions.numeric import major_units, minor_units, percent, rnd, total_units
 from orderlens.sources.model import CommerceModel
 
 
@@ -34,7 +34,7 @@ def basket_metrics(model: CommerceModel) -> DataFrame:
     """Mean order value and items per order, over the items of all orders."""
     orders = F.count(F.lit(1)).cast("double")
     return _per_order(model).agg(
-        rnd(F.try_divide(major_units(F.sum("_units")), F.count("_units").cast("double")), 2).alias("avg_order_value"),
+        rnd(F.try_divide(major_units(total_units("_units")), F.count("_units").cast("double")), 2).alias("avg_order_value"),
         rnd(F.try_divide(F.sum("_items").cast("double"), orders), 2).alias("avg_items_per_order"),
     )
 
@@ -46,10 +46,10 @@ def revenue_metrics(model: CommerceModel) -> DataFrame:
     """
     status = model.delivered(model.orders).select("order_id", F.lit(True).alias("_delivered"))
     joined = _per_order(model).join(status, "order_id", "left")
-    delivered_units = F.sum(F.when(F.col("_delivered"), F.col("_units")))
+    delivered_units = total_units(F.when(F.col("_delivered"), F.col("_units")))
     return joined.agg(
         rnd(major_units(delivered_units), 2).alias("total_gmv"),
-        rnd(F.try_divide(major_units(F.sum("_units")), F.count("_units").cast("double")), 2).alias("avg_order_value"),
+        rnd(F.try_divide(major_units(total_units("_units")), F.count("_units").cast("double")), 2).alias("avg_order_value"),
     )
 
 

@@ -19,7 +19,7 @@ def translate(df: DataFrame, lookup: DataFrame, key: str, value: str, out: str)
 
 
 def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
-    """One row per key: the smallest by ``order``, or any row if none is given.
+    """One row per key: the smallest by ``order``, then by the other columns.
 
     Runs as an aggregate with a map-side step, so a key with very many copies
     sends one row per task instead of all of them.
@@ -28,7 +28,7 @@ def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ())
     if not rest:
         return df.select(*keys).distinct()
     row = F.struct(*rest)
-    best = F.min_by(row, F.struct(*order)) if order else F.first(row)
+    best = F.min_by(row, F.struct(*order, *rest)) if order else F.min(row)
     return df.groupBy(*keys).agg(best.alias("_row")).select(
         *keys, *[F.col(f"_row.{c}").alias(c) for c in rest]
     ).select(*df.columns)

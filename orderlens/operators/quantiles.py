@@ -1,8 +1,9 @@
 """Exact quantiles of whole-number columns without gathering values in one task.
 
 The built-in ``percentile`` keeps every distinct value in the memory of a single
-task, which is right for inputs of a checked small size only. Beyond that the
-wanted ranks are found by counting: values are counted in coarse,
+task, which is right only where the number of distinct values is bounded by
+construction (``descend=False``). Otherwise, at every size, the wanted ranks are
+found by counting: values are counted in coarse,
 order-preserving cells, the few cells that hold a wanted rank are kept, and only
 those are counted again in finer cells, until a cell is one value. Counting has
 a map-side step, so repeated values collapse early and no cell size depends on
@@ -16,13 +17,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import as_struct, gather_row, planned_input_bytes, rows_from_columns
+from orderlens.functions.frames import as_struct, gather_row, rows_from_columns
 from orderlens.functions.numeric import rnd
 
-# Up to this many source bytes the built-in ``percentile`` is used: its map of
-# distinct values then fits in one task with room to spare.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
 # First level: this many cells per power of two. Second level: at most 2**21
 # cells inside one first-level cell. For magnitudes up to 2**53 a second-level
 # cell then spans at most 2**20 whole numbers, which bounds the third level.
@@ -114,25 +111,21 @@ def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) ->
     return found.selectExpr("d", "n", "mean", "low AS v", "explode(wanted.tag) AS tag")
 
 
-def _descends(df: DataFrame, descend: bool | None) -> bool:
-    return planned_input_bytes(df) > SMALL_INPUT_BYTES if descend is None else descend
-
-
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
     probs: Sequence[float],
-    descend: bool | None = None,
+    descend: bool = True,
 ) -> DataFrame:
     """For every column and probability: the two neighbouring order statistics.
 
     Returns ``(dim, prob, n, mean, lo, hi, frac)``; the continuous quantile is
     ``lo + frac * (hi - lo)``. Columns are BIGINT expressions with magnitudes up
-    to 2**53; NULLs are ignored. ``descend`` forces or forbids the multi-level
-    search, by default it is chosen from the size of the sources.
+    to 2**53; NULLs are ignored. ``descend=False`` ranks all distinct values at
+    once, for columns with a bounded number of them.
     """
     counts = value_counts(df, list(columns.values()))
-    return statistics_of_counts(counts, list(columns), probs, _descends(df, descend))
+    return statistics_of_counts(counts, list(columns), probs, descend)
 
 
 def statistics_of_counts(
@@ -169,7 +162,7 @@ def exact_quantiles(
     columns: Mapping[str, tuple[Column, float]],
     probs: Sequence[float],
     digits: int | None = 6,
-    descend: bool | None = None,
+    descend: bool = True,
 ) -> DataFrame:
     """Continuous quantiles as ``(dim, prob, n, mean, value)`` rows.
 
@@ -190,15 +183,15 @@ def quantile_row(
     columns: Mapping[str, tuple[Column, float]],
     probs: Mapping[str, float],
     digits: int | None = 6,
-    descend: bool | None = None,
+    descend: bool = True,
 ) -> DataFrame:
     """The same quantiles as one row, with a column ``<name>_<suffix>`` each.
 
     ``probs`` maps suffix to probability. ``<name>_n`` and ``<name>_mean`` hold
-    the number of values and their mean. ``descend`` forces the counting search
-    (True) or the built-in aggregate (False).
+    the number of values and their mean. ``descend=False`` takes the built-in
+    aggregate, for columns with a bounded number of distinct values.
     """
-    build = _searched_row if _descends(df, descend) else _percentile_row
+    build = _searched_row if descend else _percentile_row
     raw = build(df, [c for c, _ in columns.values()], list(probs.values()))
     out = []
     for d, (name, (_, unit)) in enumerate(columns.items()):

@@ -64,8 +64,11 @@ def repeat_stats(identities: DataFrame, min_ids: int = 2, digits: int = 2) -> Da
 
 
 def repurchase_rate(purchases: DataFrame, person: str = "customer_unique_id", order: str = "order_id") -> DataFrame:
-    """Persons, those with two and three or more orders, rate, mean and maximum."""
-    per_person = purchases.groupBy(person).agg(F.countDistinct(order).alias("n"))
+    """Persons, those with two and three or more orders, rate, mean and maximum.
+
+    ``order`` is a key of ``purchases``, one row each, as in all operators on the model.
+    """
+    per_person = purchases.groupBy(person).agg(F.count(order).alias("n"))
     at_least = lambda k: F.count(F.when(F.col("n") >= k, F.lit(1)))
     return per_person.agg(
         F.count(F.lit(1)).alias("total_users"),

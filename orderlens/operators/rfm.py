@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.frames import as_struct, inline_table, rows_from_columns
 from orderlens.functions.labels import ascending_score, descending_score, named
-from orderlens.functions.numeric import major_units, minor_units, percent, rnd
+from orderlens.functions.numeric import MONEY_UNIT, major_units, minor_units, percent, rnd, total_units
 from orderlens.operators.quantiles import describe_numeric, quantile_row, quantile_struct
 from orderlens.operators.shares import distribution, share_of_total
 from orderlens.sources.model import CommerceModel
@@ -61,7 +61,7 @@ def rfm_base(model: CommerceModel, as_of: date | None = None) -> DataFrame:
     Recency counts days up to the day after the last purchase of all orders, or
     up to ``as_of``. Orders without items do not take part. Items are summed per
     order before the join, so the join sees one row per order on both sides.
-    ``monetary_units`` is the same amount in whole hundredths.
+    ``monetary_units`` is the same amount in whole millionths.
     """
     amounts = model.order_items.groupBy("order_id").agg(F.sum(minor_units("price")).alias("_units"))
     persons = (
@@ -93,11 +93,11 @@ def rfm_measures() -> dict[str, tuple[Column, float]]:
     return {
         "recency": (F.col("recency"), 1.0),
         "frequency": (F.col("frequency"), 1.0),
-        "monetary": (F.col("monetary_units"), 100.0),
+        "monetary": (F.col("monetary_units"), MONEY_UNIT),
     }
 
 
-def quantile_edges(base: DataFrame, q: int = 5, descend: bool | None = None) -> DataFrame:
+def quantile_edges(base: DataFrame, q: int = 5, descend: bool = True) -> DataFrame:
     """Minimum, the inner quantiles and maximum of each measure, as one row."""
     return quantile_row(base, rfm_measures(), {f"e{i}": i / q for i in range(q + 1)}, descend=descend)
 
@@ -109,7 +109,7 @@ def qcut_score(
     q: int = 5,
     reverse: bool = False,
     out: str = "score",
-    descend: bool | None = None,
+    descend: bool = True,
 ) -> DataFrame:
     """Score one column by its own quantile bins, merged where edges coincide.
 
@@ -121,7 +121,7 @@ def qcut_score(
     return df.withColumn("_edges", as_struct(row)).withColumn(out, score).drop("_edges")
 
 
-def qcut_scores(base: DataFrame, q: int = 5, descend: bool | None = None) -> DataFrame:
+def qcut_scores(base: DataFrame, q: int = 5, descend: bool = True) -> DataFrame:
     """Quantile scores with merged bins: recency reversed, the others ascending."""
     edges = as_struct(quantile_edges(base, q, descend))
     scored = base.withColumn("_edges", edges)
@@ -189,10 +189,10 @@ def segment_summary(
         F.count(F.lit(1)).alias("user_cnt"),
         rnd(F.avg("recency"), 1).alias("avg_recency"),
         rnd(F.avg("frequency"), 2).alias("avg_frequency"),
-        rnd(F.try_divide(major_units(F.sum("monetary_units")), F.count(F.lit(1)).cast("double")), 2).alias(
+        rnd(F.try_divide(major_units(total_units("monetary_units")), F.count(F.lit(1)).cast("double")), 2).alias(
             "avg_monetary"
         ),
-        rnd(major_units(F.sum("monetary_units")), 2).alias("total_gmv"),
+        rnd(major_units(total_units("monetary_units")), 2).alias("total_gmv"),
     )
     if keep_empty:
         order = inline_table(segmented.sparkSession, ["segment_code", "_ord"], list(zip(labels, range(len(labels)))))
@@ -240,7 +240,7 @@ def rfm_describe(base: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("user_cnt"),
         rnd(F.avg("recency"), 2).alias("avg_recency"),
         rnd(F.avg("frequency"), 2).alias("avg_frequency"),
-        rnd(F.try_divide(major_units(F.sum("monetary_units")), F.count(F.lit(1)).cast("double")), 2).alias(
+        rnd(F.try_divide(major_units(total_units("monetary_units")), F.count(F.lit(1)).cast("double")), 2).alias(
             "avg_monetary"
         ),
     )
@@ -260,7 +260,7 @@ def rfm_describe(base: DataFrame) -> DataFrame:
     )
 
 
-def quintile_cuts(base: DataFrame, descend: bool | None = None) -> DataFrame:
+def quintile_cuts(base: DataFrame, descend: bool = True) -> DataFrame:
     """The four inner cut points of each measure, as one row."""
     row = quantile_row(base, rfm_measures(), {"q20": 0.2, "q40": 0.4, "q60": 0.6, "q80": 0.8}, descend=descend)
     short = {"recency": "r", "frequency": "f", "monetary": "m"}

@@ -298,10 +298,12 @@ def category_repurchase(m, p):
     return category.category_repurchase(m, p.min_buyers)
 
 
-@named("n4_retention_counts_matrix", "retention", "Persons per cohort over twelve months")
+@named("n4_retention_counts_matrix", "retention", "Persons per cohort and month since the first purchase")
 def retention_counts_matrix(m, p):
     kept = cohort.cohort_retention(_counts(m), p.min_cohort)
-    return cohort.retention_matrix(kept, value="user_cnt", digits=None).orderBy("cohort_month")
+    # Long form, as the number of offsets follows from the data.
+    label = F.date_format("cohort_month", "yyyy-MM").alias("cohort_month")
+    return kept.select(label, "offset_month", "user_cnt").orderBy("cohort_month", "offset_month")
 
 
 @named("n4_cumulative_windows", "retention", "Cumulative share over the gap ranges")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import month_label
-from orderlens.functions.numeric import exact_sum, minor_units, rnd
+from orderlens.functions.numeric import MONEY_UNIT, exact_sum, minor_units, rnd
 from orderlens.operators import category, cohort, durations, kpi, reconcile, repurchase, rfm
 from orderlens.operators.durations import Span
 from orderlens.operators.funnel import funnel
@@ -75,7 +75,7 @@ def event_stage_durations(m, directory):
 def quantiles_by_counting(m, directory):
     """The multi-level search, forced, over all item and payment amounts."""
     items = m.order_items.select(minor_units("price").alias("units"))
-    out = exact_quantiles(items, {"price": (F.col("units"), 100.0)}, [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0], descend=True)
+    out = exact_quantiles(items, {"price": (F.col("units"), MONEY_UNIT)}, [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0], descend=True)
     return out.select("dim", "prob", "n", "value")
 
 
@@ -99,7 +99,7 @@ def score_comparison(m, directory):
 @check("payment_describe")
 def payment_describe(m, directory):
     units = m.order_payments.select(minor_units("payment_value").alias("units"))
-    return describe_numeric(units, {"payment_value": (F.col("units"), 100.0)}).drop("_ord")
+    return describe_numeric(units, {"payment_value": (F.col("units"), MONEY_UNIT)}).drop("_ord")
 
 
 @check("winsorized_payments")
@@ -172,7 +172,7 @@ def kpi_reconciliation(m, directory):
         "total_orders": marts["status"]().agg(F.sum("order_cnt").alias("value")),
         "delivered_orders": marts["monthly"]().agg(F.sum("order_cnt").alias("value")),
         "unique_customers": repurchase.identity_audit(m.identities).select(F.col("distinct_unique_ids").alias("value")),
-        "total_gmv": rfm.rfm_base(m).agg(F.sum("monetary_units").alias("u")).select((F.col("u") / 100).alias("value")),
+        "total_gmv": rfm.rfm_base(m).agg(F.sum("monetary_units").alias("u")).select((F.col("u") / MONEY_UNIT).alias("value")),
     }
     frames = [df.select(F.lit(k).alias("metric"), F.col("value").cast("double")) for k, df in by_path.items()]
     expected = frames[0]

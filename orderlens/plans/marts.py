@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions.dates import month_label
-from orderlens.functions.numeric import minor_units, percent
+from orderlens.functions.numeric import MONEY_UNIT, minor_units, percent
 from orderlens.operators import category, cohort, durations, kpi, profile, repurchase, rfm
 from orderlens.operators.funnel import funnel, funnel_by
 from orderlens.operators.quantiles import exact_quantiles
@@ -104,7 +104,7 @@ def write_marts(
 
     def save(name: str, df: DataFrame, small: bool = True) -> DataFrame:
         path = f"{out_dir}/{name}"
-        (df.coalesce(1) if small else df).write.mode("overwrite").format(fmt).save(path)
+        (df.repartition(1) if small else df).write.mode("overwrite").format(fmt).save(path)
         return model.spark.read.format(fmt).load(path)
 
     persons = save("person_segments", rfm.rfm_segments(model), small=False)
@@ -146,7 +146,7 @@ def report_facts(model: CommerceModel) -> DataFrame:
     )
     performance = category.category_performance(model, k=20)
     order_units = model.order_items.groupBy("order_id").agg(F.sum(minor_units("price")).alias("units"))
-    median = exact_quantiles(order_units, {"median_order_value": (F.col("units"), 100.0)}, [0.5], digits=2)
+    median = exact_quantiles(order_units, {"median_order_value": (F.col("units"), MONEY_UNIT)}, [0.5], digits=2)
     times = durations.stage_durations(model.orders, P.STAGE_SPANS)
     states = profile.persons_by_state(model)
     payments = distribution(model.order_payments, "payment_type", "n")
@@ -172,4 +172,4 @@ def report_facts(model: CommerceModel) -> DataFrame:
 
 
 def write_report_facts(model: CommerceModel, out_dir: str, fmt: str = "json") -> None:
-    report_facts(model).coalesce(1).write.mode("overwrite").format(fmt).save(out_dir)
+    report_facts(model).repartition(1).write.mode("overwrite").format(fmt).save(out_dir)

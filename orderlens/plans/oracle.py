@@ -474,7 +474,9 @@ def oracle_statements() -> dict[str, str]:
             "FROM catrep ORDER BY repurchase_rate DESC, category LIMIT 15",
             "catrep",
         ),
-        "n4_retention_counts_matrix": sql(_matrix("n"), "ret"),
+        "n4_retention_counts_matrix": sql(
+            "SELECT strftime(born, '%Y-%m') AS cohort_month, off AS offset_month, n AS user_cnt FROM ret", "ret"
+        ),
         "n4_cumulative_windows": sql(
             f"SELECT {_gap_label(GAP_LABELS)} AS window_group, pct, {R('SUM(pct) OVER (ORDER BY b)', 2)} AS cum_pct FROM bucket",
             "bucket",

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.sources.model import CommerceModel
 from orderlens.sources.schemas import COLUMN_ALIASES, ROLE_COLUMNS, ROLE_FILES
 
-_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+# FAILFAST: a value that can't be read as its declared type is an error, not NULL.
+_OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
 
 def _matches(spark: SparkSession, pattern: str) -> list[str]:
@@ -38,12 +40,21 @@ def require_inputs(spark: SparkSession, directory: str, roles: Sequence[str] = t
 def read_role(spark: SparkSession, directory: str, role: str) -> DataFrame:
     """Read one role with its declared types.
 
-    Only the header line is looked at beforehand; types are declared, never
-    inferred from the data. Columns outside the role are pruned by the reader.
+    Only header lines are looked at beforehand; types are declared, never
+    inferred from the data. Columns are matched by name in each file: files with
+    the same header are read together. Columns outside the role are pruned by the
+    reader. A value that does not fit its type stops the read.
     """
     paths = require_inputs(spark, directory, [role])[role]
     reader = spark.read.options(**_OPTIONS, multiLine=role == "order_reviews")
-    header = reader.csv(paths[0]).columns
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
+    parts = [_read_files(reader, header, files, role) for header, files in by_header.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _read_files(reader: DataFrameReader, header: Sequence[str], files: list[str], role: str) -> DataFrame:
     wanted = ROLE_COLUMNS[role]
     names = [COLUMN_ALIASES.get(name, name) for name in header]
     absent = sorted(set(wanted) - set(names))
@@ -53,7 +64,7 @@ def read_role(spark: SparkSession, directory: str, role: str) -> DataFrame:
         [T.StructField(h, T._parse_datatype_string(wanted.get(n, "string"))) for h, n in zip(header, names)]
     )
     source = dict(zip(names, header))
-    df = reader.schema(schema).csv(paths)
+    df = reader.schema(schema).csv(files)
     return df.select(*[F.col(f"`{source[name]}`").alias(name) for name in wanted])
 
 

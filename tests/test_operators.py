@@ -207,7 +207,7 @@ def test_cohorts_skip_absent_offsets(purchases):
     assert rows(cohort.retention_curve(kept), "offset_month") == [(0, 100.0), (2, 75.0)]
     big = cohort.cohort_retention(counts, min_size=2)
     assert rows(big, "offset_month") == [(D(2024, 1, 1), 0, 2, 100.0), (D(2024, 1, 1), 2, 1, 50.0)]
-    wide = cohort.retention_matrix(kept, max_offset=3)
+    wide = cohort.retention_matrix(kept, months=3)
     assert rows(wide, "cohort_month") == [("2024-01", 100.0, None, 50.0), ("2024-02", 100.0, None, 100.0)]
 
 
