@@ -248,7 +248,7 @@ def scored(spark):
             "recency": F.lit(10).cast("bigint"),
             "frequency": F.lit(1).cast("bigint"),
             "monetary": F.lit(2.5),
-            "monetary_units": F.lit(250).cast("bigint"),
+            "monetary_units": F.lit(2_500_000).cast("bigint"),
         }
     )
 

@@ -107,7 +107,7 @@ def test_describe_like_pandas(spark):
 
 
 def base_frame(spark, values):
-    rows = [(i, int(v), int(v), float(v), int(v) * 100) for i, v in enumerate(values)]
+    rows = [(i, int(v), int(v), float(v), int(v) * 1_000_000) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, "customer_unique_id int, recency bigint, frequency bigint, monetary double, monetary_units bigint")
 
 

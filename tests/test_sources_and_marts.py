@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from orderlens import model_from_csv, model_from_parquet, write_roles
+from orderlens.functions.numeric import exact_sum
 from orderlens.operators import category, kpi, repurchase, rfm
 from orderlens.plans.catalog import CATALOG, run_catalog
 from orderlens.plans.marts import report_facts, write_marts, write_report_facts
@@ -178,3 +180,18 @@ def test_invariants(star):
     assert all(r["order_cnt"] <= total for r in q("q02_01_order_funnel").collect())
     assert sum(r["user_cnt"] for r in q("q03_04_segment_summary").collect()) == rfm.rfm_base(star).count()
     assert q("n4_cumulative_windows").collect()[-1]["cum_pct"] == pytest.approx(100, abs=0.06)
+
+
+def test_csv_columns_match_by_name_and_bad_values_fail(spark, tmp_path):
+    (tmp_path / "a_order_items_dataset.csv").write_text("order_id,product_id,seller_id,price\no1,p1,s1,0.004\n")
+    (tmp_path / "b_order_items_dataset.csv").write_text("price,seller_id,product_id,order_id\n2.5,s2,p2,o2\n")
+    rows = read_role(spark, str(tmp_path), "order_items").collect()
+    assert {tuple(r) for r in rows} == {("o1", "p1", "s1", 0.004), ("o2", "p2", "s2", 2.5)}
+    (tmp_path / "c_order_items_dataset.csv").write_text("order_id,product_id,seller_id,price\no3,p3,s3,abc\n")
+    with pytest.raises(Exception):
+        read_role(spark, str(tmp_path), "order_items").collect()
+
+
+def test_amounts_with_more_than_two_decimals_add_up(spark):
+    df = spark.range(1000).select(F.lit(0.004).alias("price"))
+    assert df.agg(exact_sum("price").alias("s")).first()["s"] == 4.0
