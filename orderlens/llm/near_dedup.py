@@ -13,8 +13,9 @@
    smaller and equal registers likeliest; pairs far below the threshold go, the
    rest are confirmed on their full shingle sets.
 5. What still shares a bucket across components is compared in bounded blocks
-   (members outside the bucket's largest component against all others), each
-   pair by registers, then by full sets. No pair of a bucket is left out, and
+   (members outside the bucket's largest component against all others; members
+   are dealt to blocks by hash, as many as their shingles ask for), each pair by
+   registers, then by full sets. No pair of a bucket is left out, and
    no task emits more links than its block has members.
 
 Cases: null or empty texts and texts without words have no shingles, their
@@ -285,25 +286,18 @@ def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of buckets with several components, dealt to blocks of bounded size; each pair across components shares one."""
     many = buckets.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     left = buckets.join(many, "key")
-    counts = left.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    sized = (
-        left.join(main, "key")
-        .join(classes.select("node", "n_shingles"), "node")
-        .withColumn("straggler", F.col("root") != F.col("main"))
-        .withColumn(
-            "part",
-            F.expr(
-                f"floor(sum(n_shingles) over (partition by key, straggler order by node"
-                f" rows between unbounded preceding and current row) / {BLOCK_SHINGLES})"
-            ).cast("int"),
-        )
-    )
-    parts = sized.groupBy("key").agg(
-        F.max(F.when(F.col("straggler"), F.col("part"))).alias("s_last"),
-        F.max(F.when(~F.col("straggler"), F.col("part"))).alias("m_last"),
+    sizes = left.join(classes.select("node", "n_shingles"), "node")
+    roots = sizes.groupBy("key", "root").agg(F.struct(F.count("*").alias("c"), "root", F.sum("n_shingles").alias("s")).alias("held"))
+    kinds = roots.groupBy("key").agg(F.max("held").alias("main"), F.sum("held.s").alias("s"))
+    parts = kinds.select(
+        "key",
+        F.col("main.root").alias("main"),
+        F.expr(f"cast((s - main.s) div {BLOCK_SHINGLES} as int)").alias("s_last"),
+        F.expr(f"cast(main.s div {BLOCK_SHINGLES} as int)").alias("m_last"),
     )
-    rows = sized.select("key", "node", "root", "straggler", "part").join(parts, "key")
+    straggler = F.col("root") != F.col("main")
+    part = F.pmod(_by_hash(3), F.when(straggler, F.col("s_last")).otherwise(F.col("m_last")) + 1).cast("int")
+    rows = left.join(parts, "key").withColumn("straggler", straggler).withColumn("part", part).drop("main")
     among = rows.where("straggler").select(
         "*", F.explode(F.sequence(F.lit(0), "s_last")).alias("other"), F.lit(True).alias("within")
     )

@@ -70,7 +70,9 @@ def test_near_duplicates_match_brute_force(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_of_a_chain_and_a_large_group(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK_SHINGLES, 2000])
+def test_near_duplicates_of_a_chain_and_a_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", block)
     rng = random.Random(3)
     words = prose(5, 200).split()
     texts = []
