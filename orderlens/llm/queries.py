@@ -14,6 +14,7 @@ from orderlens.llm.license_scan import licence_notices
 from orderlens.llm.line_dedup import deduplicated_lines
 from orderlens.llm.near_dedup import near_duplicates
 from orderlens.llm.nearest import nearest
+from orderlens.llm.oracle import STATEMENTS
 from orderlens.llm.packing import packed_documents
 from orderlens.llm.sharding import hilbert_shards, text_key
 from orderlens.llm.token_counts import token_counts
@@ -113,4 +114,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = STATEMENTS
