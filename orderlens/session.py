@@ -22,8 +22,10 @@ COMMON_SETTINGS = {
 def local_session(cores: int | str = "*", app: str = "orderlens", **settings: str) -> SparkSession:
     """A single-machine session for tests and benchmarks.
 
-    On a cluster use the session the platform provides; nothing in the library
-    needs settings beyond Spark's defaults.
+    On a cluster use the session the platform provides, with COMMON_SETTINGS and
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum`` sized to the
+    shuffled bytes: adaptive execution merges partitions, but splits none of an
+    aggregation.
     """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     local = {
