@@ -7,9 +7,15 @@
    indexed by each of them. Two codes within distance r agree in some substring
    up to r // substrings bits (pigeonhole), so probing the values that near in
    every substring finds every code within r.
-3. The radius of a query is the smallest at which the sample lets expect
-   CANDIDATES rows. All codes within it are reranked on the vectors in double
-   precision; each task keeps its k best of a query, the best of those win.
+3. The first radius of a query is the smallest at which the sample, without the
+   query itself, lets expect CANDIDATES rows. All codes within it are reranked on
+   the vectors in double precision; each task keeps its k best of a query, the
+   best of those win.
+4. The k-th best distance found bounds that of any row still missed. The radius
+   widens to what the codes of REACH of the sample's pairs at about that distance
+   need (to all bits where fewer than k were found or the sample has no such
+   pairs), and the codes between both radii are reranked too. So the radius
+   follows recall, not a count of rows.
 
 Every row is indexed. Queries go in blocks of QUERY_BLOCK, each read against the
 whole index. Cases: vectors that are null, zero, of another length than most of
@@ -34,6 +40,8 @@ from orderlens.llm.store import saved
 SAMPLE = 20_000
 TABLES = 4
 CANDIDATES = 1000
+REACH = 0.9  # share of the sample's pairs at a distance whose codes the radius for it covers
+ANCHORS, NEAR, GROUP = 400, 200, 500  # pairs of the sample: of so many rows, with so many nearest, in groups of equal size
 QUERY_BLOCK = 2000
 _ROUNDS = 30
 
@@ -80,6 +88,29 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
+class _Reach:
+    """Radius in bits that covers REACH of the sample's pairs at a distance between vectors."""
+
+    def __init__(self, sample: np.ndarray, codes: np.ndarray):
+        far, bits = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for i in range(min(ANCHORS, len(sample))):
+            apart = np.sqrt(((sample - sample[i]) ** 2).sum(axis=1))
+            near = np.argpartition(apart, min(NEAR, len(apart) - 1))[: NEAR + 1]
+            near = near[near != i]
+            far.append(apart[near])
+            bits.append(_distance(codes[near], codes[i]))
+        distance, differ = np.concatenate(far), np.concatenate(bits)
+        order = np.argsort(distance, kind="stable")
+        groups = max(1, len(order) // GROUP)
+        parts = [part for part in np.array_split(order, groups) if len(part)]
+        self.limits = np.array([distance[part[-1]] for part in parts])
+        needed = [np.quantile(differ[part], REACH, method="higher") for part in parts]
+        self.radii = np.append(np.maximum.accumulate(np.array(needed, dtype=np.int64)), 64 * codes.shape[1])
+
+    def of(self, distances: np.ndarray) -> np.ndarray:
+        return self.radii[np.searchsorted(self.limits, distances)]
+
+
 class _Index:
     """Rows of one batch by the values of each 16-bit substring of their codes."""
 
@@ -92,8 +123,8 @@ class _Index:
             values, start = np.unique(part[order], return_index=True)
             self.lists.append((values, start, np.append(start[1:], len(order)), order))
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows whose code differs from `code` in at most `radius` bits."""
+    def within(self, code: np.ndarray, radius: int, beyond: int = -1) -> np.ndarray:
+        """Rows whose code differs from `code` in at most `radius` and more than `beyond` bits."""
         pieces = code.view(np.uint16)
         share, rest = divmod(radius, len(pieces))
         hit = np.zeros(len(self.codes), dtype=bool)
@@ -103,7 +134,8 @@ class _Index:
             lengths = np.where(near, end - start, 0)
             hit[order[np.repeat(near, end - start)] if lengths.sum() else order[:0]] = True
         rows = np.flatnonzero(hit)
-        return rows[_distance(self.codes[rows], code) <= radius]
+        apart = _distance(self.codes[rows], code)
+        return rows[(apart <= radius) & (apart > beyond)]
 
 
 def _code_batches(codes: Codes):
@@ -118,7 +150,7 @@ def _code_batches(codes: Codes):
     return run
 
 
-def _search(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, radii: np.ndarray, k: int):
+def _search(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, radii: np.ndarray, beyond: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
         for batch in batches:
@@ -128,7 +160,7 @@ def _search(ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, radii: np.n
             words = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(own), -1)
             index = _Index(words)
             for q in range(len(ids)):
-                rows = index.within(codes[q], int(radii[q]))
+                rows = index.within(codes[q], int(radii[q]), int(beyond[q]))
                 rows = rows[own[rows] != ids[q]]
                 if len(rows):
                     score = np.sqrt(((held[rows] - vectors[q]) ** 2).sum(axis=1))
@@ -160,13 +192,15 @@ def nearest(
     rows = clean(embeddings)
     spark = rows.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").collect()
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).collect()
     if not picked:
         return empty
-    width = Counter(len(r[0]) for r in picked).most_common(1)[0][0]
-    sample = np.array([r[0] for r in picked if len(r[0]) == width])
+    width = Counter(len(r.vector) for r in picked).most_common(1)[0][0]
+    picked = [r for r in picked if len(r.vector) == width]
+    sample, sample_ids = np.array([r.vector for r in picked]), np.array([r.vec_id for r in picked])
     codes = Codes(sample)
     sample_codes = codes.of(sample)
+    reach = _Reach(sample, sample_codes)
     fits = F.size("vector") == width
     index = saved(rows.where(fits).mapInArrow(_code_batches(codes), "vec_id long, vector array<double>, code binary"), "codes")
     total = index.count()
@@ -175,14 +209,31 @@ def nearest(
 
     found, block = None, []
 
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+
+    def best(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def first_radius(query: int, code: np.ndarray) -> int:
+        apart = _distance(sample_codes[sample_ids != query], code)
+        wanted = max(0, int(np.ceil(share * len(apart))) - 1)
+        return 64 * len(code) if share == 1.0 or not len(apart) else int(np.partition(apart, wanted)[wanted])
+
     def searched(block: list) -> DataFrame:
         ids, vectors = np.array([r[0] for r in block]), np.array([r[1] for r in block])
         words = codes.of(vectors)
-        wanted = max(0, int(np.ceil(share * len(sample_codes))) - 1)
-        radii = np.array([np.partition(_distance(sample_codes, w), wanted)[wanted] for w in words])
-        if share == 1.0:
-            radii[:] = 64 * words.shape[1]
-        return index.mapInArrow(_search(ids, vectors, words, radii, k), "query_id long, vec_id long, score double")
+        radii = np.array([first_radius(q, w) for q, w in zip(ids, words)])
+        schema = "query_id long, vec_id long, score double"
+        none = np.full(len(ids), -1)
+        near = saved(best(index.mapInArrow(_search(ids, vectors, words, radii, none, k), schema)).drop("rank"), "near")
+        worst = near.groupBy("query_id").agg(F.max("score").alias("d"), F.count("*").alias("n")).where(F.col("n") >= k)
+        bound = {r.query_id: r.d for r in worst.collect()}
+        wide = reach.of(np.array([bound.get(q, np.inf) for q in ids.tolist()]))
+        more = np.flatnonzero(wide > radii)
+        if not len(more):
+            return near
+        beyond = _search(ids[more], vectors[more], words[more], wide[more], radii[more], k)
+        return near.unionByName(index.mapInArrow(beyond, schema))
 
     for row in asked.toLocalIterator():
         block.append(row)
@@ -193,5 +244,4 @@ def nearest(
         found = searched(block) if found is None else found.unionByName(searched(block))
     if found is None:
         return empty
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(found).select("query_id", "rank", "vec_id", "score")

@@ -294,6 +294,21 @@ def test_nearest_matches_brute_force(spark):
     assert nearest.nearest(frame, frame.where("false"), 10).count() == 0
 
 
+def test_nearest_widens_a_radius_of_too_few_candidates(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 20))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest.nearest(frame, frame.where("vec_id % 100 = 0"), 10, candidates=12).toPandas()
+    hits = 0
+    for q in range(0, 4000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.is_unique and np.allclose(own.score, d[own.vec_id])
+        hits += len(set(own.vec_id) & set(np.argsort(d)[:10]))
+    assert hits >= 0.9 * 400
+
+
 def test_licence_notices(spark, docs, none):
     texts = ["Intro\nLicensed under the Apache License, Version 2.0.\nx", "released under the mit license", "My driving license is new.", None, "", "a\n\nThis work is licensed under the GNU General Public License"]
     frame = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, family string")
