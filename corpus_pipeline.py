@@ -21,6 +21,8 @@ from orderlens.llm.toxicity import fit_severity, severity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+NEAR_PERCENT = 80  # similarity of five-word shingle sets from which documents are near-duplicates
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
@@ -41,7 +43,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each near-duplicate group stays."""
-    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    return _without(docs, near_duplicates(docs, NEAR_PERCENT).where("not kept").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,6 +95,19 @@ def test_near_duplicates_of_a_chain_and_a_large_group(spark, monkeypatch, block)
     assert got == dict(enumerate(root))
 
 
+def test_near_dedup_stage_links_from_four_fifths_on(spark):
+    import corpus_pipeline
+
+    words = prose(60, 300).split()
+    for at in (50, 100, 150, 200, 250):
+        words[at] = f"edit{at}"
+    texts = [prose(60, 300), " ".join(words), prose(61, 300)]
+    both, all_ = len(shingles(texts[0]) & shingles(texts[1])), len(shingles(texts[0]) | shingles(texts[1]))
+    assert 0.80 <= both / all_ < 0.85
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == [0, 2]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, (2, 3000), dtype=np.uint64)
