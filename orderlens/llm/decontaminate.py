@@ -1,20 +1,21 @@
 """Benchmark items that leak into training texts, found by n-gram seeds and Smith-Waterman alignment.
 
-1. The items' four-word n-grams are the seeds (an item with fewer words is one
-   seed of its own length). A pass over all documents counts, for each seed, the
-   documents that hold it; a seed weighs ``ln(documents / holders)``, so rare
-   seeds decide and no frequent one is dropped.
-2. A second pass collects each document's seed hits by item and cuts them where
-   the document runs on for longer than the item without a hit. A stretch whose
-   distinct seeds weigh SEED_WEIGHT together, or cover half of the item's
-   distinct seeds, is a candidate.
+1. A score of s (MIN_SCORE of the item's n words, rounded up) means s more matches
+   than errors. Matches fall into at most one run more than there are errors, so
+   at least s - 1 word pairs of the item stand in order in the text, within
+   2n - s words. Where s is 1, one word of the item stands there.
+2. The item holds n - 1 pairs, so one of any n - s + 1 of them is among those. The
+   rarest n - s + 1, by the number of places in the block's items, are the item's
+   seeds: rarity decides where to look, and rejects nothing. Around each seed hit
+   in a document the item's pairs are counted; stretches with s - 1 of them
+   within 2n - s words are candidates.
 3. Smith-Waterman over words (1 for a match, -1 for a mismatch or a gap) scores
-   the stretch with a margin of the item's length. The score is divided by the
+   the stretch with a margin of 2n words. The score is divided by the
    item's words; at MIN_SCORE and above the document is contaminated.
 
 Items go through in blocks of at most BLOCK_WORDS words (one longer item makes a
-block), so that what tasks receive has a fixed bound; each block is one pair of
-passes over the documents.
+block), so that what tasks receive has a fixed bound; each block is one pass
+over the documents.
 
 Cases: null or empty items and texts match nothing. Repeated items and
 documents are reported each; an item's null id is reported as null. An empty
@@ -32,17 +33,20 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.hashing import Units, grams, tokens
 
-SEED_WORDS = 4
-SEED_WEIGHT = 6.0
 MIN_SCORE = 0.5
 BLOCK_WORDS = 500_000
 _FILTER_BITS = 22
 
 
+def _grams(held: np.ndarray, n: int) -> np.ndarray:
+    one = Units(0, held, held, held, np.array([0, len(held)]), held, held, held)
+    return grams(one, n)[0][: max(0, len(held) - n + 1)]
+
+
 class Items:
     """A block of benchmark items with their seeds sorted by hash."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, min_score: float = MIN_SCORE):
         self.ids: list = []
         self.words: list[np.ndarray] = []
         for units in tokens(pa.array(texts, pa.string())):
@@ -51,21 +55,23 @@ class Items:
                 if len(held):
                     self.ids.append(ids[units.first + k])
                     self.words.append(held)
-        hashes, items, sizes = [], [], []
-        for k, held in enumerate(self.words):
-            n = min(SEED_WORDS, len(held))
-            one = Units(0, held, held, held, np.array([0, len(held)]), held, held, held)
-            seeds = np.unique(grams(one, n)[0][: len(held) - n + 1])
+        self.needed = [max(1, int(np.ceil(min_score * len(held) - 1e-9))) for held in self.words]
+        self.sizes = [min(2, s) for s in self.needed]
+        found = [_grams(held, n) for held, n in zip(self.words, self.sizes)]
+        self.grams = [np.unique(g) for g in found]
+        known, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0))
+        hashes, items = [], []
+        for k, own in enumerate(found):
+            rarest = np.argsort(count[np.searchsorted(known, own)], kind="stable")
+            seeds = np.unique(own[rarest[: len(self.words[k]) - self.needed[k] + 1]])
             hashes.append(seeds)
             items.append(np.full(len(seeds), k))
-            sizes.append(n)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.lengths = sorted(set(sizes))
+        self.lengths = sorted(set(self.sizes))
         order = np.argsort(flat, kind="stable")
         self.owner = np.concatenate(items)[order] if hashes else np.zeros(0, np.int64)
         self.seeds, start = np.unique(flat[order], return_index=True)
         self.start = np.append(start, len(flat))
-        self.seed_count = np.array([len(h) for h in hashes])
         self.sieve = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.sieve[self.seeds >> np.uint64(64 - _FILTER_BITS)] = True
 
@@ -98,55 +104,53 @@ def local_alignment(text: np.ndarray, item: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _holders(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(len(items.seeds), dtype=np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for units in tokens(batch.column(0)):
-                place, seed = items.hits(units)
-                text = np.searchsorted(units.bounds, place, side="right") - 1
-                both = np.unique(text * len(items.seeds) + seed)
-                counts += np.bincount(both % max(1, len(items.seeds)), minlength=len(items.seeds))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(counts[some], rows), pa.int64())],
-            names=["seed", "holders"],
-        )
-
-    return run
-
-
 def _stretches(place: np.ndarray, gap: int) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(place) > gap) + 1
     return list(zip([0, *cuts], [*cuts, len(place)]))
 
 
-def _leaks(items: Items, weight: np.ndarray, min_score: float):
+def _dense(place: np.ndarray, hits: int, span: int) -> np.ndarray:
+    """Those of sorted `place` that lie with `hits` of them or more within `span`."""
+    if len(place) < hits:
+        return place[:0]
+    first = np.flatnonzero(place[hits - 1 :] - place[: len(place) - hits + 1] < span)
+    near = np.zeros(len(place) + 1, dtype=np.int64)
+    np.add.at(near, first, 1)
+    np.add.at(near, first + hits, -1)
+    return place[np.cumsum(near[:-1]) > 0]
+
+
+def _leaks(items: Items, min_score: float):
     def one_text(held: np.ndarray, place: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        first, last = items.start[seed], items.start[seed + 1]
-        times = last - first
+        pairs = {n: _grams(held, n) for n in items.lengths}
+        times = items.start[seed + 1] - items.start[seed]
         offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        owner = items.owner[np.repeat(first, times) + offset]
-        place, seed = np.repeat(place, times), np.repeat(seed, times)
+        owner = items.owner[np.repeat(items.start[seed], times) + offset]
+        place = np.repeat(place, times)
         order = np.lexsort((place, owner))
-        owner, place, seed = owner[order], place[order], seed[order]
+        owner, place = owner[order], place[order]
         bounds = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
         for lo, hi in zip(bounds, bounds[1:]):
-            item = items.words[owner[lo]]
+            k = owner[lo]
+            item, n, needed, own = items.words[k], items.sizes[k], items.needed[k], items.grams[k]
+            span = 2 * len(item) - needed
             best: tuple[float, int, int] | None = None
-            for x, y in _stretches(place[lo:hi], len(item)):
-                own = np.unique(seed[lo + x : lo + y])
-                if weight[own].sum() < SEED_WEIGHT and 2 * len(own) < items.seed_count[owner[lo]]:
-                    continue
-                at = max(0, int(place[lo + x]) - len(item))
-                region = held[at : int(place[lo + y - 1]) + 2 * len(item)]
+            near = []
+            for x, y in _stretches(place[lo:hi], 2 * span):
+                at, to = max(0, int(place[lo + x]) - span), int(place[lo + y - 1]) + span + 1
+                said = pairs[n][at:to]
+                found = own[np.minimum(np.searchsorted(own, said), len(own) - 1)] == said
+                near.append(at + np.flatnonzero(found))
+            dense = _dense(np.concatenate(near), max(1, needed - 1), span)
+            for x, y in _stretches(dense, span) if len(dense) else []:
+                at = max(0, int(dense[x]) - 2 * len(item))
+                region = held[at : int(dense[y - 1]) + 2 * len(item) + 2]
                 score, end = local_alignment(region, item)
                 if score >= min_score * len(item) and (best is None or score / len(item) > best[0]):
                     start = end - local_alignment(region[:end][::-1], item[::-1])[1]
                     best = (score / len(item), at + start, at + end)
             if best:
-                yield (int(owner[lo]), *best)
+                yield (int(k), *best)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,19 +179,19 @@ def _leaks(items: Items, weight: np.ndarray, min_score: float):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, min_score: float) -> Iterator[Items]:
     ids: list = []
     texts: list = []
     size = 0
     for row in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         n = len((row[1] or "").split())
         if ids and size + n > BLOCK_WORDS:
-            yield Items(ids, texts)
+            yield Items(ids, texts, min_score)
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(row[1])
         size += n
-    yield Items(ids, texts)
+    yield Items(ids, texts, min_score)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -199,13 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     found = None
-    for items in _blocks(benchmark):
-        counted = rows.select("text").mapInArrow(_holders(items), "seed long, holders long")
-        holders = dict(counted.groupBy("seed").agg(F.sum("holders")).collect())
-        total = max(1, holders.pop(-1, 0))
-        weight = np.full(len(items.seeds), np.log(total) if total > 1 else 0.0)
-        for seed, n in holders.items():
-            weight[seed] = np.log(total / n)
-        leaks = rows.mapInArrow(_leaks(items, weight, min_score), schema)
+    for items in _blocks(benchmark, min_score):
+        leaks = rows.mapInArrow(_leaks(items, min_score), schema)
         found = leaks if found is None else found.unionByName(leaks)
     return found

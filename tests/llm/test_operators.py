@@ -150,6 +150,33 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(docs, items.where("false")).count() == 0
 
 
+def test_decontamination_finds_every_pair_that_reaches_the_score(spark):
+    rng = random.Random(9)
+    items = [f"i{k}x{j}" for k in range(30) for j in range(20)]
+    items = [" ".join(items[20 * k : 20 * k + 20]) for k in range(30)] + ["pair word", "solo"]
+    texts = []
+    for k, item in enumerate(items[:30]):  # every third to fifth word replaced, or words put in between
+        words = item.split()
+        if k % 2:
+            words = [f"r{k}" if j % (3 + k % 3) == 2 else w for j, w in enumerate(words)]
+        else:
+            words = [x for j, w in enumerate(words) for x in ([w, f"n{j}"] if j % (2 + k % 4) == 1 else [w])]
+        texts.append(" ".join([prose(70 + k, 60), *words, prose(170 + k, 60)]))
+    texts += [texts[0]] * 20 + [rng.choice(items) + " solo pair " + prose(400, 3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, round(r.score, 9)) for r in decontaminate.contaminated(frame, bench).collect()}
+    want = set()
+    code = {}
+    numbers = lambda t: np.array([code.setdefault(w, len(code)) for w in t.split()])
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            score = decontaminate.local_alignment(numbers(text), numbers(item))[0] / len(item.split())
+            if score >= 0.5:
+                want.add((d, i, round(score, 9)))
+    assert got == want and len(want) > 40
+
+
 def test_local_alignment_matches_the_table():
     rng = np.random.default_rng(0)
     for _ in range(30):
