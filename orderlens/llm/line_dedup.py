@@ -1,15 +1,17 @@
 """Removal of blocks of lines that an earlier document holds already.
 
-1. Every line, and every two lines in a row, is a seed with a hash. A seed that
+1. The shortest run of lines in a row with at least `min_words` words, one that
+   starts and one that ends at each line, is a seed with a hash. A seed that
    several documents hold pairs each later one with the first holder; so a seed
    with n holders gives n - 1 pairs, rare or frequent. `rarity` of a pair is the
-   number of holders of its rarest seed. Any common block holds a seed: two
-   lines in a row, or one line of at least `min_words` words (shorter single
-   lines are no seeds, as they can't make a block).
+   number of holders of its rarest seed. Each line of a common block lies in a
+   seed within the block, and a seed is a block that its first holder holds, so
+   pairs with first holders miss none.
 2. Each pair is aligned with patience diff: lines that occur once in both texts,
    longest increasing run of their places, then the gaps between, with equal
    lines at both ends of a gap taken first. What stays unmatched is aligned again
-   until nothing more matches, so blocks that moved or repeat are found too.
+   until nothing more matches, so blocks that moved or repeat are found too. Last,
+   seeds of the later text that the first holds and no matched run covers are taken.
 3. Runs of matched lines with at least `min_words` words in all go from the
    later document. The first holder of a line never loses it, so one copy stays.
 
@@ -31,12 +33,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.hashing import lines, mix, words
+from orderlens.llm.hashing import _power_size, _powers, lines, mix, words
 from orderlens.llm.store import saved
 
 MIN_WORDS = 10
 
 
+def _windows(sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of lines with `min_words` words that start or end at each line."""
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    lines_ = np.arange(len(sizes))
+    end = np.searchsorted(upto, upto[:-1] + min_words)
+    start = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    end = np.maximum(end, lines_ + 1)
+    start = np.minimum(start, lines_)
+    begun, ended = end <= len(sizes), start >= 0
+    return np.concatenate((lines_[begun], start[ended])), np.concatenate((end[begun], lines_[ended] + 1))
+
+
+def _window_hashes(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    power, inverse = _powers(_power_size(len(h)))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * power[: len(h)])))
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def _line_batches(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +68,7 @@ def _line_batches(min_words: int):
                 place = breaks[found.start] - breaks[found.text_start[texts]]
                 for lo, hi in zip(found.bounds, found.bounds[1:]):
                     h = found.hashes[lo:hi]
-                    seeds = np.concatenate((h[size[lo:hi] >= min_words], mix(h[:-1] * np.uint64(3) + h[1:])))
+                    seeds = _window_hashes(h, *_windows(size[lo:hi], min_words))
                     out[0].append(h.view(np.int64))
                     out[1].append(size[lo:hi])
                     out[2].append(place[lo:hi])
@@ -128,7 +148,18 @@ def common_blocks(a: list[int], b: list[int], sizes: list[int], min_words: int)
                 run = []
         if not taken:
             break
-    return sorted(gone)
+    covered = set(gone)
+    missed: dict[tuple, list[tuple[int, int]]] = {}
+    for s, e in zip(*(x.tolist() for x in _windows(np.array(sizes), min_words))):
+        if held.issuperset(b[s:e]) and not covered.issuperset(range(s, e)):
+            missed.setdefault(tuple(b[s:e]), []).append((s, e))
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(a if missed else []):
+        where.setdefault(x, []).append(i)
+    for seed, places in missed.items():
+        if any(tuple(a[i : i + len(seed)]) == seed for i in where[seed[0]]):
+            covered.update(k for s, e in places for k in range(s, e))
+    return sorted(covered)
 
 
 def _align(min_words: int):

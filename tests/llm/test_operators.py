@@ -128,6 +128,26 @@ def test_lines_of_later_documents_go(docs, none):
     assert out.count() == 0 and set(out.columns) == {*docs.columns, "lines_removed"}
 
 
+def test_lines_of_blocks_of_short_lines_go(spark):
+    one, two, three = ("\n".join([prose(k, 4)]) for k in (80, 81, 82))
+    texts = [f"{one}\n{two}", f"{two}\n{three}", f"{one}\n{two}\n{three}", f"start\n{one}\n{two}\n{three}\nend"]
+    rng = random.Random(11)
+    short = [prose(90 + k, rng.randrange(0, 7)) or "-" for k in range(8)]
+    texts += ["\n".join(rng.choice(short) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated_lines(frame).collect()}
+    assert got[3] == "start\nend"
+    lines = [t.split("\n") for t in texts]
+    for d, own in enumerate(lines):
+        runs = {tuple(x[s:e]) for x in lines[:d] for s in range(len(x)) for e in range(s + 1, len(x) + 1)}
+        gone = set()
+        for s in range(len(own)):
+            for e in range(s + 1, len(own) + 1):
+                if sum(len(x.split()) for x in own[s:e]) >= 10 and tuple(own[s:e]) in runs:
+                    gone.update(range(s, e))
+        assert got[d] == "\n".join(x for k, x in enumerate(own) if k not in gone)
+
+
 def test_common_blocks():
     sizes = [20] * 6
     assert line_dedup.common_blocks([1, 2, 3], [3, 1, 2, 9, 9, 1], sizes, 10) == [0, 1, 2, 5]  # moved and repeated
