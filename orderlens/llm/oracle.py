@@ -92,4 +92,72 @@ SELECT d.conv_id, d.n_turns, d.turns_sha256, length(d.loss) AS loss_chars, sha25
 FROM digests d LEFT JOIN repeated r ON r.conv = d.conv
 """
 
-STATEMENTS: dict[str, str] = {"op7_chat_windows": CHAT_WINDOWS, "op9_minhash_near_dedup": NEAR_DEDUP}
+
+
+def _field(expression: str) -> str:
+    return f"coalesce(strlen({expression}) || ':' || {expression}, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return f"sha256({' || '.join(map(_field, fields))})"
+
+
+# CRC-32 of a decimal number, a bit at a time: each digit is followed by eight shifts.
+_CRC = """
+  xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)
+"""
+
+# Nodes level by level; a path goes up with its level's run of siblings, the groups' tree after the group's own.
+MERKLE = f"""
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+    CASE WHEN {_CRC} % 5 = 0
+      THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS found
+  FROM documents
+), leaves AS (
+  SELECT *, {{'null': source IS NULL, 'name': coalesce(source, '')}} AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+  FROM rows
+), nodes AS (
+  SELECT tree, 0 AS level, place, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY tree, level, place // 16, n
+), subroots AS (
+  SELECT tree, digest, row_number() OVER (ORDER BY NOT tree['null'], encode(tree['name'])) - 1 AS place, count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, place, n, digest FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY place))
+  FROM tops WHERE n > 1 GROUP BY level, place // 16, n
+), up AS (
+  SELECT doc_id, tree, 0 AS level, place, n, coalesce(found, leaf) AS digest, '' AS others FROM leaves
+  UNION ALL
+  SELECT u.doc_id, u.tree, u.level + 1, u.place // 16, (u.n + 15) // 16,
+    sha256(string_agg(CASE WHEN s.place = u.place THEN u.digest ELSE s.digest END, '' ORDER BY s.place)),
+    any_value(u.others) || coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE s.place <> u.place), '')
+  FROM up u JOIN nodes s ON s.tree = u.tree AND s.level = u.level AND s.place // 16 = u.place // 16
+  WHERE u.n > 1 GROUP BY u.doc_id, u.tree, u.level, u.place, u.n
+), over AS (
+  SELECT u.doc_id, 0 AS level, s.place, s.n, u.digest, u.others FROM up u JOIN subroots s ON s.tree = u.tree WHERE u.n = 1
+  UNION ALL
+  SELECT u.doc_id, u.level + 1, u.place // 16, (u.n + 15) // 16,
+    sha256(string_agg(CASE WHEN s.place = u.place THEN u.digest ELSE s.digest END, '' ORDER BY s.place)),
+    any_value(u.others) || coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (WHERE s.place <> u.place), '')
+  FROM over u JOIN tops s ON s.level = u.level AND s.place // 16 = u.place // 16
+  WHERE u.n > 1 GROUP BY u.doc_id, u.level, u.place, u.n
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(o.others) AS proof_sha256,
+  o.digest AS folded_root, o.digest = t.digest AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN over o ON o.doc_id = l.doc_id AND o.n = 1 JOIN tops t ON t.n = 1
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op7_chat_windows": CHAT_WINDOWS,
+    "op9_minhash_near_dedup": NEAR_DEDUP,
+    "op13_merkle_manifest": MERKLE,
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,6 +14,7 @@ from orderlens.llm.decontaminate import contaminated
 from orderlens.llm.license_scan import licence_notices
 from orderlens.llm.line_dedup import deduplicated_lines
 from orderlens.llm.near_dedup import near_duplicates
+from orderlens.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from orderlens.llm.nearest import nearest
 from orderlens.llm.oracle import STATEMENTS
 from orderlens.llm.packing import packed_documents
@@ -102,6 +104,31 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of all documents, and what their roots become where a text has been lower-cased."""
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = docs.select(
+        "doc_id",
+        "source",
+        leaf_digest(*fields, F.col("text")).alias("leaf"),
+        F.when(touched, leaf_digest(*fields, lower)).alias("found"),
+    )
+    out = manifest(rows, "source", ["doc_id"])
+    out = out.withColumn("folded_root", folded(F.coalesce("found", "leaf"), F.col("witness")))
+    return out.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("witness")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -113,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = STATEMENTS
