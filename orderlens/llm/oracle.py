@@ -156,8 +156,36 @@ SELECT l.doc_id, l.leaf, s.digest AS subroot, t.digest AS root, sha256(o.others)
 FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN over o ON o.doc_id = l.doc_id AND o.n = 1 JOIN tops t ON t.n = 1
 """
 
+_HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)', 1)"
+_REST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^#]*)', 2)"
+
+CAPTURES = rf"""
+WITH paid AS (
+  SELECT page_id, coalesce(html, '') AS payload,
+    replace(replace(replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), chr(9), '%09'), ' ', '%20') AS url,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS date
+  FROM pages
+), keyed AS (
+  SELECT *, sha256(payload) AS digest, strlen(payload) AS size, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')
+    THEN array_to_string(list_reverse(string_split(
+      regexp_replace(regexp_replace(lower({_HOST}), '^www[0-9]*\.', ''), ':(80|443)$', ''), '.')), ',')
+      || ')' || regexp_replace({_REST}, '/$', '')
+    ELSE coalesce(url, '') END AS url_key
+  FROM paid
+), placed AS (
+  SELECT *, CASE WHEN size >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first,
+    row_number() OVER (ORDER BY encode(url_key), date, page_id) - 1 AS place
+  FROM keyed
+)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, url_key, date, place
+FROM placed
+"""
+
 STATEMENTS: dict[str, str] = {
     "op7_chat_windows": CHAT_WINDOWS,
     "op9_minhash_near_dedup": NEAR_DEDUP,
+    "op11_warc_captures": CAPTURES,
     "op13_merkle_manifest": MERKLE,
 }

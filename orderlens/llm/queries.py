@@ -19,8 +19,10 @@ from orderlens.llm.nearest import nearest
 from orderlens.llm.oracle import STATEMENTS
 from orderlens.llm.packing import packed_documents
 from orderlens.llm.sharding import hilbert_shards, text_key
+from orderlens.llm.store import new_path
 from orderlens.llm.token_counts import token_counts
 from orderlens.llm.toxicity import fit_severity, severity
+from orderlens.llm.warc import capture_index, read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +106,16 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, a second of the year 2024 each by id, written as archives, read back and put in order of capture."""
+    pages = _table(spark, sf_dir, "pages")
+    captured = F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, page_id % 31536000)")
+    path = new_path(spark, "archives")
+    write_archives(pages.select("page_id", "url", "html", captured.alias("captured")), path)
+    index = capture_index(read_archives(spark, path))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "place")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of all documents, and what their roots become where a text has been lower-cased."""
     docs = _table(spark, sf_dir, "documents")
@@ -140,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_warc_captures": op11_warc_captures,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = STATEMENTS
