@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.chat_format import chat_windows, turns_of
 from orderlens.llm.decontaminate import contaminated
+from orderlens.llm.hard_negatives import hard_negatives, integer_rows
 from orderlens.llm.license_scan import licence_notices
 from orderlens.llm.line_dedup import deduplicated_lines
 from orderlens.llm.near_dedup import near_duplicates
@@ -116,6 +117,13 @@ def op11_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "place")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five positives and three windowed negatives each for every fiftieth embedding, against all."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = integer_rows(_table(spark, sf_dir, "embeddings"), "embedding", noisy)
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of all documents, and what their roots become where a text has been lower-cased."""
     docs = _table(spark, sf_dir, "documents")
@@ -153,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_warc_captures": op11_warc_captures,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = STATEMENTS
