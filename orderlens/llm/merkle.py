@@ -7,7 +7,7 @@ H. The groups' roots, by group (null first), make one more tree.
 
 1. Leaves are dealt by ranges and numbered (`order.numbered`), so a group that
    holds most rows is many ranges.
-2. Aligned blocks of BLOCK nodes are appended to an open tree one node after the
+2. Aligned blocks of FAN ** LEVELS nodes are appended to an open tree one node after the
    other (`Appender`): a subtree that is still open holds partial witnesses of its
    leaves; when its last sibling comes, its node and the siblings' digests extend
    them. What closes a block is one node, a further append of the next round.
@@ -36,7 +36,7 @@ from orderlens.llm.order import by_ranges, numbered
 from orderlens.llm.store import saved
 
 FAN = 16
-LEVELS = 3  # of a block
+LEVELS = 3  # of a block, if not given
 WITNESS = "array<struct<at: int, siblings: string>>"
 _ARROW_WITNESS = pa.list_(pa.struct([("at", pa.int32()), ("siblings", pa.string())]))
 _NODE = "tree string, position long, n long, digest string"
@@ -88,34 +88,34 @@ class Appender:
         return self.open[height][0][0]
 
 
-def _height(nodes: int) -> int:
+def _height(nodes: int, levels: int) -> int:
     """Levels that a block of a tree of `nodes` closes: all of a block if the tree has several, else up to its root."""
     height = 0
-    while height < LEVELS and nodes > FAN**height:
+    while height < levels and nodes > FAN**height:
         height += 1
     return height
 
 
-def _appended(nodes: pa.Table) -> tuple[Appender, str]:
+def _appended(nodes: pa.Table, levels: int) -> tuple[Appender, str]:
     tree = Appender()
     for digest in nodes["digest"].to_pylist():
         tree.append(digest)
-    return tree, tree.finish(_height(nodes["n"][0].as_py()))
+    return tree, tree.finish(_height(nodes["n"][0].as_py(), levels))
 
 
-def _closed_block(nodes: pa.Table) -> pa.Table:
+def _closed_block(levels: int, nodes: pa.Table) -> pa.Table:
     nodes = nodes.sort_by("position")
-    _, root = _appended(nodes)
-    n = -(-nodes["n"][0].as_py() // FAN**LEVELS)
+    _, root = _appended(nodes, levels)
+    n = -(-nodes["n"][0].as_py() // FAN**levels)
     return pa.table({"tree": nodes["tree"][:1], "position": nodes["block"][:1], "n": [n], "digest": [root]})
 
 
-def _witnessed_block(nodes: pa.Table, above: pa.Table) -> pa.Table:
+def _witnessed_block(levels: int, nodes: pa.Table, above: pa.Table) -> pa.Table:
     nodes = nodes.sort_by("position")
     out = nodes.select([c for c in nodes.column_names if c not in ("n", "block")])
     if not nodes.num_rows:
         return out.append_column("top", pa.array([], pa.string())).append_column("witness", pa.array([], _ARROW_WITNESS))
-    tree, _ = _appended(nodes)
+    tree, _ = _appended(nodes, levels)
     upper = [(step["at"], step["siblings"]) for step in above["witness"][0].as_py()]
     steps = [step for own in tree.witness for step in (*own, *upper)]
     ends = np.cumsum([0, *(len(own) + len(upper) for own in tree.witness)])
@@ -127,34 +127,38 @@ def _witnessed_block(nodes: pa.Table, above: pa.Table) -> pa.Table:
     return out.append_column("top", pa.array([above["top"][0].as_py()] * len(nodes), pa.string())).append_column("witness", witness)
 
 
-def _in_blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"position div {FAN**LEVELS}"))
+def _in_blocks(nodes: DataFrame, levels: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"position div {FAN**levels}"))
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _rounds(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """`nodes` (tree, position, n, digest), then the closed blocks of each round, until every tree is one node."""
     rounds = [nodes]
     largest = nodes.agg(F.max("n")).first()[0] or 1
     while True:
-        small = _in_blocks(rounds[-1].select("tree", "position", "n", "digest"))
-        rounds.append(saved(small.groupBy("tree", "block").applyInArrow(_closed_block, _NODE), "merkle"))
-        if largest <= FAN**LEVELS:
+        small = _in_blocks(rounds[-1].select("tree", "position", "n", "digest"), levels)
+        closed = small.groupBy("tree", "block").applyInArrow(lambda nodes: _closed_block(levels, nodes), _NODE)
+        rounds.append(saved(closed, "merkle"))
+        if largest <= FAN**levels:
             return rounds
-        largest = -(-largest // FAN**LEVELS)
+        largest = -(-largest // FAN**levels)
 
 
-def _descended(rounds: list[DataFrame], above: DataFrame) -> DataFrame:
+def _descended(rounds: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """The first of `rounds` with `top` and `witness`, given those (tree, position, top, witness) of the last."""
     for nodes in reversed(rounds[:-1]):
         kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema if f.name != "n"]
-        blocks = _in_blocks(nodes).groupBy("tree", "block").cogroup(above.groupBy("tree", "position"))
-        above = blocks.applyInArrow(_witnessed_block, ", ".join([*kept, "top string", f"witness {WITNESS}"]))
+        blocks = _in_blocks(nodes, levels).groupBy("tree", "block").cogroup(above.groupBy("tree", "position"))
+        add = lambda low, high: _witnessed_block(levels, low, high)
+        above = blocks.applyInArrow(add, ", ".join([*kept, "top string", f"witness {WITNESS}"]))
     return above
 
 
-def manifest(rows: DataFrame, group: str, order: list[str], leaf: str = "leaf") -> DataFrame:
+def manifest(rows: DataFrame, group: str, order: list[str], leaf: str = "leaf", levels: int = LEVELS) -> DataFrame:
     """`rows` with subroot (of the row's group), root and witness; `leaf` names the column of digests.
 
+    A block has `levels` levels, FAN ** levels nodes.
+
     Give narrow rows: they are shuffled, their texts are not needed any more.
     """
     names = [c for c in rows.columns if c not in ("subroot", "root", "witness")]
@@ -166,17 +170,17 @@ def manifest(rows: DataFrame, group: str, order: list[str], leaf: str = "leaf")
         "leaves",
     )
     ranged = by_ranges(leaves, "tree", *[at[c] for c in order], "digest", "__made").drop("__made")
-    trees = _rounds(numbered(ranged, "tree", "leaves-in-order"))
+    trees = _rounds(numbered(ranged, "tree", "leaves-in-order"), levels)
     groups = trees[-1].select(F.lit("").alias("tree"), "digest", F.col("tree").alias("name"))
-    whole = _rounds(numbered(by_ranges(groups, "tree", "name"), "tree", "groups"))
+    whole = _rounds(numbered(by_ranges(groups, "tree", "name"), "tree", "groups"), levels)
     top = whole[-1].select("tree", "position", F.col("digest").alias("top"), F.lit(None).cast(WITNESS).alias("witness"))
     top = top.withColumn("witness", F.coalesce("witness", F.array().cast(WITNESS)))
-    named = _descended(whole, top).select(
+    named = _descended(whole, top, levels).select(
         F.col("name").alias("tree"), F.lit(0).cast("long").alias("position"), F.struct("digest", "top").alias("tops"), "witness"
     )
     named = saved(named, "group-witnesses")
     below = named.select("tree", "position", F.col("tops.digest").alias("top"), "witness")
-    out = _descended(trees, below)
+    out = _descended(trees, below, levels)
     root = whole[-1].agg(F.max("digest").alias("digest")).select("digest").scalar()
     return out.select(
         *[F.col(at[c]).alias(c) for c in names], F.col("top").alias("subroot"), root.alias("root"), F.col("witness")
