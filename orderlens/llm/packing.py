@@ -18,14 +18,14 @@ and text are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,57 +35,86 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 20_000
 MAX_ROUNDS = 8
+_SLICE_BYTES = 1 << 24
 _CACHE_WORDS = 1_000_000
 
+# Letters whose lower case is one letter, whatever stands around it, and which no normal form changes; marks
+# that neither join each other nor letters to other words than those of the vocabulary's splitter.
+_LATIN = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}"
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_PLAIN = f"^[{_LATIN}]+[{re.escape(_MARKS)}]*$"
 
-# Fixed value: how the vocabulary splits lower-case text into words.
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-
-class _Words(dict):
-    """Token ids, as little-endian 32-bit bytes, of strings without white space; forgotten when too many."""
+class _Words:
+    """Token ids of words, one behind the other in `ids`; forgotten when there are too many."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[k for piece, k in vocabulary.items() if piece.endswith("</w>")]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode all strings of `texts` that are not known yet as one text, and cut its ids at the ends of words."""
-        if len(self) >= _CACHE_WORDS:
+        self.clear()
+
+    def clear(self) -> None:
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.start, self.size = (np.zeros(0, dtype=t) for t in ("<u4", np.int64, np.int64))
+        self.end = self._add(pa.array(["\n"], pa.large_string()), [np.array([END_ID])])  # no word holds white space
+
+    def _add(self, words: pa.Array, ids: list[np.ndarray]) -> int:
+        first, size = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known = pa.concat_arrays([self.known, words])
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.concatenate([self.ids, *ids]).astype("<u4")
+        return first
+
+    def _encoded(self, words: list[str], letters: bool) -> list[np.ndarray]:
+        """The ids of each word. Words of letters only end with one end-of-word piece each, so they can go as one text."""
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(words):
+                return np.split(ids, cuts[:-1])
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def numbers(self, words: pa.Array, letters: bool) -> np.ndarray:
+        """The number of each of some distinct words; new ones are encoded."""
+        held = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(held))
+        out = held.fill_null(-1).to_numpy().astype(np.int64)
+        if len(new):
+            first = self._add(new, self._encoded(new.to_pylist(), letters))
+            out[out < 0] = first + np.arange(len(new))
+        return out
+
+    def units(self, words: pa.Array) -> np.ndarray:
+        """Two numbers for each of some distinct words: of its stem and of the marks behind it.
+
+        A word of Latin letters is known by its lower case, as the vocabulary has
+        no other; marks behind it are a word of their own. Anything else is its own stem.
+        """
+        if len(self.known) > _CACHE_WORDS:
             self.clear()
-        new = set().union(*texts) - self.keys()
-        split = [(w, *_stem(w)) for w in new]
-        stems = list({x for _, stem, tail in split for x in (stem, tail)} - self.keys())
-        plain = [w for w in stems if "<|" not in w]
-        words = np.array([1 if w.isalpha() else len(_PRETOKEN.findall(normalize("NFC", w).lower())) for w in plain], dtype=np.int64)
-        ids = self._ids(" ".join(plain))
-        cuts = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
-        if len(cuts) == words.sum() + 1:
-            data, at = ids.tobytes(), (4 * cuts[np.append(0, np.cumsum(words))]).tolist()
-            self.update(zip(plain, (data[lo:hi] for lo, hi in zip(at, at[1:]))))
-        for word in stems:
-            if word not in self:
-                self[word] = self._ids(word).tobytes()
-        self.update([(w, self[stem] + self[tail]) for w, stem, tail in split])
-
-
-def _stem(word: str) -> tuple[str, str]:
-    """A word of Latin letters in lower case and the mark behind it; anything else as it is.
-
-    The vocabulary lower-cases, and a single mark behind letters is a word of its own.
-    """
-    base, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-    if base.isalpha() and (base.isascii() or (max(base) <= "\u024f" and "\u0130" not in base)):
-        return base.lower(), tail
-    return word, ""
+        plain = pc.match_substring_regex(words, _PLAIN)
+        simple = words.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(simple, _MARKS)).dictionary_encode()
+        marks = pc.replace_substring_regex(simple, f"^[{_LATIN}]+", "").dictionary_encode()
+        out = np.full((len(words), 2), self.numbers(pa.array([""], pa.large_string()), False)[0], dtype=np.int64)
+        at = plain.to_numpy(zero_copy_only=False)
+        out[at, 0] = self.numbers(stems.dictionary, True)[stems.indices.to_numpy()]
+        out[at, 1] = self.numbers(marks.dictionary, False)[marks.indices.to_numpy()]
+        out[~at, 0] = self.numbers(words.filter(pc.invert(plain)), False)
+        return out
+
+    def gathered(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of `units` one behind the other, and where each unit begins."""
+        size = self.size[units]
+        ends = np.cumsum(size)
+        begin = ends - size
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.start[units] - begin, size) + np.arange(total)], begin
 
 
 @lru_cache(maxsize=1)
@@ -93,42 +122,57 @@ def _word_ids(path: str) -> _Words:
     return _Words(path)
 
 
-def _chunks(text: str) -> list[str]:
-    """`text` cut at plain white space; other white space is left to the tokenizer."""
-    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+def _text_ids(known: _Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, each with its end id, one behind the other, and where each text begins (and the last ends).
 
+    The vocabulary drops white space, so a text's ids are those of its words.
+    """
+    words = pc.ascii_split_whitespace(texts)
+    first = words.offsets.to_numpy() - words.offsets[0].as_py()
+    held = words.flatten().dictionary_encode()
+    pairs = known.units(held.dictionary)[held.indices.to_numpy()].reshape(-1)
+    units = np.insert(pairs, 2 * first[1:], known.end)
+    ids, begin = known.gathered(units)
+    return ids, np.append(begin, len(ids))[2 * first + np.arange(len(first))]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of about _SLICE_BYTES together; a longer text is alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        begin = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, begin + _SLICE_BYTES, side="right")))
+        yield at, to
+        at = to
 
-def _piece_batches(path: str, length: int):
-    """The vocabulary drops white space, so a text's ids are those of its words one after the other."""
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
+def _piece_batches(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [_chunks(text or "") for text in part.column(1).to_pylist()]
-                known.learn(texts)
-                doc, piece, start, size, ids = [], [], [], [], []
-                for row, words in enumerate(texts):
-                    found = b"".join(map(known.__getitem__, words)) + end
-                    for k in range(0, len(found), 4 * length):
-                        held = found[k : k + 4 * length]
-                        doc.append(row)
-                        piece.append(k // (4 * length))
-                        start.append(k // 4)
-                        size.append(len(held) // 4)
-                        ids.append(held)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(pa.array(doc, pa.int64())),
-                        pa.array(piece, pa.int32()),
-                        pa.array(start, pa.int64()),
-                        pa.array(size, pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["doc_id", "piece", "start", "length", "ids"],
-                )
+            column = batch.column(1).cast(pa.large_string()).fill_null("")
+            for at, to in _slices(column):
+                ids, begin = _text_ids(known, column.slice(at, to - at))
+                count = -(-np.diff(begin) // length)
+                doc = np.repeat(np.arange(to - at), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * length
+                cuts = np.append(begin[doc] + start, len(ids))
+                for lo in range(0, len(doc), 5_000):
+                    hi = min(len(doc), lo + 5_000)
+                    offsets = (4 * (cuts[lo : hi + 1] - cuts[lo])).astype(np.int32)
+                    data = pa.py_buffer(ids[cuts[lo] : cuts[hi]].tobytes())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(at + doc[lo:hi], pa.int64())),
+                            pa.array(piece[lo:hi], pa.int32()),
+                            pa.array(start[lo:hi], pa.int64()),
+                            pa.array(np.diff(cuts[lo : hi + 1]), pa.int64()),
+                            pa.BinaryArray.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(offsets), data]),
+                        ],
+                        names=["doc_id", "piece", "start", "length", "ids"],
+                    )
 
     return run
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,13 @@ def test_near_duplicates_of_a_chain_and_a_large_group(spark, monkeypatch, block)
     assert got == dict(enumerate(root))
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    other, third = prose(70, 90), prose(71, 50)
+    rows = [(5, BASE), (5, other), (9, EDITED), (12, other), (3, third), (5, third), (20, prose(72, 40))]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3), (9, 3), (12, 3), (3, 3), (20, 20)}
+
+
 def test_near_dedup_stage_links_from_four_fifths_on(spark):
     import corpus_pipeline
 
@@ -225,6 +233,23 @@ def test_packing_round_trip(docs, none):
     assert packing.packed_documents(none, VOCABULARY).count() == 0
 
 
+def test_word_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(VOCABULARY), random.Random(11)
+    parts = ["A", "b", "\u00c9", "e\u0301", "\u0130", "\u0131", "\u03a3", "\u03c2", "\u01c5", "\u00df", "\ufb01", "\u0301", " ", "\u2028", "\x85", "\xa0"]
+    parts += ["\n", "\t", "\x0b", "\x1c", "\0", ".", ",", "&&&", "(", "\\", "|", "<", "'", "'s", "'S", "'ll", "<|", "<|endoftext|>", "<|startoftext|>"]
+    parts += ["\u4e2d", "\ud55c", "\u3131", "0", "12", "\u00b2", "\u00bd", "\U0001f600", "\u200d", "_", "-", "\u212a", "\u212b", "\u1e9e", "word", "Wort"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(4000)] + ["", None, "word " * 20_000]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = [[] for _ in texts]
+    for part in packing._piece_batches(VOCABULARY, 2048)(iter([batch])):
+        for row in part.to_pylist():
+            assert row["start"] == len(got[row["doc_id"]]) == 2048 * row["piece"] and 4 * row["length"] == len(row["ids"])
+            got[row["doc_id"]] += np.frombuffer(row["ids"], "<u4").tolist()
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_packing_bound_and_fit():
     rng = np.random.default_rng(4)
     for _ in range(20):
