@@ -4,14 +4,16 @@
    SetSketch of it: register i holds the smallest of exponentially distributed
    hashes of the set, on a logarithmic scale of base b, truncated to 16 bits.
    Sketches merge by the larger register (`merge_registers`).
-2. Texts with the same set are one class; classes carry on as their smallest id.
+2. Texts with the same set are one class, with a number of its own.
 3. Four registers make a band. Classes that share a band key are candidates.
-   With 24 bands a pair at similarity 0.85 is missed once in fifty million.
+   With 24 bands a pair at similarity 0.85 is missed once in fifty million, one at
+   0.80 three times in a million.
 4. Candidates of a bucket meet its smallest member first, then two members
    chosen by hash, and only where the bucket still falls into several components.
    `estimated` takes the similarity that makes the observed counts of larger,
-   smaller and equal registers likeliest; pairs far below the threshold go, the
-   rest are confirmed on their full shingle sets.
+   smaller and equal registers likeliest; pairs MARGIN standard errors below the
+   threshold go, the rest are confirmed on their full shingle sets. Of pairs just
+   at 0.85 this estimate loses one in 17 million, at 0.80 one in 28 million.
 5. What still shares a bucket across components is compared in bounded blocks
    (members outside the bucket's largest component against all others; members
    are dealt to blocks by hash, as many as their shingles ask for), each pair by
@@ -20,7 +22,8 @@
 
 Cases: null or empty texts and texts without words have no shingles, their
 component is their own id. Rows without id take no part (component null, kept).
-Rows that share an id are one document. Repeated rows share their component.
+Rows that share an id are one document: their texts, if they differ, are linked
+to each other, and each to what it resembles. Repeated rows share their component.
 """
 
 from __future__ import annotations
@@ -41,8 +44,9 @@ REGISTERS = BANDS * ROWS
 BASE = 1.001  # of the register scale
 RATE = 20.0  # of the exponential hashes: keeps registers of small sets above 0
 TOP = 2**16 - 1
-MARGIN = 4.0  # standard errors by which an estimate may fall short before a pair goes
+MARGIN = 6.0  # standard errors by which an estimate may fall short before a pair goes
 BLOCK_SHINGLES = 400_000
+TASK_ROWS = 2_000  # block members for each task that compares them
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
@@ -50,6 +54,7 @@ _ODD1 = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None] | np.uint32
 _ODD2 = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None] | np.uint32(1)
 _BAND_SALT = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 
+SET = ["s0", "s1", "n_shingles"]  # tell the sets apart
 SKETCH_FIELDS = "n_shingles long, s0 long, s1 long, registers binary, bands array<long>"
 
 
@@ -72,20 +77,25 @@ def merge_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def _sums(shingles: np.ndarray) -> tuple[int, int]:
+    """Two sums that tell a set from others of its size."""
+    if not len(shingles):
+        return 0, 0
+    return int(shingles.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(shingles)).view(np.int64))
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, s0, s1, regs, keys = [], [], [], [], []
         for shingles in shingle_sets(batch.column(1)):
             sizes.append(len(shingles))
+            for column, value in zip((s0, s1), _sums(shingles)):
+                column.append(value)
             if not len(shingles):
-                s0.append(0)
-                s1.append(0)
                 regs.append(None)
                 keys.append([])
                 continue
             row = registers(shingles)
-            s0.append(int(shingles.sum(dtype=np.uint64).view(np.int64)))
-            s1.append(int(np.bitwise_xor.reduce(mix(shingles)).view(np.int64)))
             regs.append(row.tobytes())
             keys.append(mix(row.view(np.uint64) ^ _BAND_SALT).view(np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -315,6 +325,25 @@ def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     ).select("block", "node", "root", "straggler", "within")
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = list(shingle_sets(batch.column(0)))
+        sums = [_sums(shingles) for shingles in sets]
+        columns = [[s0 for s0, _ in sums], [s1 for _, s1 in sums], list(map(len, sets))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["text", *SET])
+
+
+def _texts(docs: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """(node, text): one text of each class. An id in `several` has texts of several classes; those are told apart by their sets."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    clear = classes.join(several, "doc_id", "left_anti").select("doc_id", "node")
+    plain = ids.join(clear, "doc_id").groupBy("node").agg(F.max("text").alias("text"))
+    mixed = classes.join(several, "doc_id", "left_semi").select("doc_id", "node", *SET)
+    told = ids.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("text").distinct()
+    told = told.mapInArrow(_set_batches, "text string, s0 long, s1 long, n_shingles long")
+    return plain.unionByName(told.join(mixed, SET).groupBy("node").agg(F.max("text").alias("text")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id, kept.
 
@@ -323,42 +352,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     rows = saved(sketch(docs), "sketches")
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(
-        some.groupBy("s0", "s1", "n_shingles").agg(
-            F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("bands").alias("bands")
-        ),
-        "classes",
+    kinds = some.groupBy(*SET).agg(
+        F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")
     )
+    classes = saved(kinds.withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     buckets = saved(keyed.join(shared, "key").select("key", "node"), "buckets")
-    ids = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    near = ids.join(buckets.select("node").distinct(), "node", "left_semi")
-    texts = saved(near.groupBy("node").agg(F.max("text").alias("text")), "texts")
-
-    same_id = some.groupBy("doc_id", "s0", "s1", "n_shingles").agg(F.lit(1).alias("one"))
-    member = same_id.join(classes.select("s0", "s1", "n_shingles", "node"), ["s0", "s1", "n_shingles"])
-    split = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("a", "b")
-    links = saved(split, "confirmed")
+
+    same_id = saved(some.groupBy("doc_id", *SET).agg(F.lit(1).alias("one")).join(classes.select(*SET, "node"), SET).select("doc_id", "node"), "held")
+    several = same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    links = saved(same_id.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")), "confirmed")
+    texts = saved(_texts(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), several), "texts")
+
     for salts in ([], [1, 2]):
         rooted = _with_roots(buckets, links)
         found = _confirmed(_meetings(rooted, salts), classes, texts, percent)
         links = saved(links.unionByName(found), "confirmed")
 
     blocks = saved(_blocks(saved(_with_roots(buckets, links), "rooted"), classes), "blocks")
-    sort = lambda df: df.repartition("block").sortWithinPartitions("block", "node")
+    tasks = blocks.count() // TASK_ROWS + 1
+    sort = lambda df: df.repartition(tasks, "block").sortWithinPartitions("block", "node")
     reach = sort(blocks.join(classes.select("node", "n_shingles", "registers"), "node")).select(
         "block", "node", "root", "straggler", "within", "n_shingles", "registers"
     )
     reach = reach.mapInArrow(_members_in_reach(percent), "block long, node long, root long, straggler boolean, within boolean")
-    last = sort(reach.join(texts, "node")).select("block", "node", "root", "straggler", "within", "text")
+    last = sort(saved(reach, "reach").join(texts, "node")).select("block", "node", "root", "straggler", "within", "text")
     links = saved(links.unionByName(last.mapInArrow(_links_in_block(percent), "a long, b long")), "confirmed")
 
-    roots = components(links).withColumnRenamed("node", "class_node")
-    named = classes.select("s0", "s1", F.col("n_shingles"), F.col("node").alias("class_node")).join(roots, "class_node", "left")
-    named = named.select("s0", "s1", "n_shingles", F.coalesce("root", "class_node").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "s0", "s1").join(named, ["s0", "s1", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    named = classes.select(*SET, "node", "doc_id").join(components(links), "node", "left")
+    named = saved(named.select(*SET, "doc_id", F.coalesce("root", "node").alias("root")), "named")
+    least = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    named = named.join(least, "root").select(*SET, "component_id")
+    out = rows.select("doc_id", *SET).join(named, SET, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
