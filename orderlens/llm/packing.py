@@ -35,8 +35,8 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 20_000
 MAX_ROUNDS = 8
-_SLICE_BYTES = 1 << 24
-_CACHE_WORDS = 1_000_000
+_SLICE_BYTES = 1 << 22
+_CACHE_WORDS = 700_000
 
 # Letters whose lower case is one letter, whatever stands around it, and which no normal form changes; marks
 # that neither join each other nor letters to other words than those of the vocabulary's splitter.
