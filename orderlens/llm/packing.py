@@ -35,7 +35,7 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 20_000
 MAX_ROUNDS = 8
-_SLICE_BYTES = 1 << 22
+_SLICE_BYTES = 3 << 21
 _CACHE_WORDS = 700_000
 
 # Letters whose lower case is one letter, whatever stands around it, and which no normal form changes; marks
@@ -61,6 +61,7 @@ class _Words:
         self.known = pa.array([], pa.large_string())
         self.ids, self.start, self.size = (np.zeros(0, dtype=t) for t in ("<u4", np.int64, np.int64))
         self.end = self._add(pa.array(["\n"], pa.large_string()), [np.array([END_ID])])  # no word holds white space
+        self.empty = self._add(pa.array([""], pa.large_string()), [np.zeros(0, dtype=np.int64)])
 
     def _add(self, words: pa.Array, ids: list[np.ndarray]) -> int:
         first, size = len(self.known), np.fromiter(map(len, ids), np.int64, len(ids))
@@ -72,21 +73,22 @@ class _Words:
 
     def _encoded(self, words: list[str], letters: bool) -> list[np.ndarray]:
         """The ids of each word. Words of letters only end with one end-of-word piece each, so they can go as one text."""
-        if letters:
+        if letters and words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(words):
                 return np.split(ids, cuts[:-1])
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def numbers(self, words: pa.Array, letters: bool) -> np.ndarray:
-        """The number of each of some distinct words; new ones are encoded."""
-        held = pc.index_in(words, value_set=self.known)
-        new = words.filter(pc.is_null(held))
-        out = held.fill_null(-1).to_numpy().astype(np.int64)
-        if len(new):
-            first = self._add(new, self._encoded(new.to_pylist(), letters))
-            out[out < 0] = first + np.arange(len(new))
+    def _numbers(self, stems: pa.Array, others: pa.Array) -> np.ndarray:
+        """The numbers of stems, which are letters only, and of other words; new ones are encoded."""
+        words = pa.concat_arrays([stems, others])
+        out = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int32)
+        new = out < 0
+        if new.any():
+            parts = [words.slice(lo, n).filter(pa.array(new[lo : lo + n])).to_pylist() for lo, n in ((0, len(stems)), (len(stems), len(others)))]
+            ids = self._encoded(parts[0], True) + self._encoded(parts[1], False)
+            out[new] = self._add(words.filter(pa.array(new)), ids) + np.arange(new.sum())
         return out
 
     def units(self, words: pa.Array) -> np.ndarray:
@@ -98,14 +100,16 @@ class _Words:
         if len(self.known) > _CACHE_WORDS:
             self.clear()
         plain = pc.match_substring_regex(words, _PLAIN)
-        simple = words.filter(plain)
+        simple, rest = words.filter(plain), words.filter(pc.invert(plain))
         stems = pc.utf8_lower(pc.utf8_rtrim(simple, _MARKS)).dictionary_encode()
         marks = pc.replace_substring_regex(simple, f"^[{_LATIN}]+", "").dictionary_encode()
-        out = np.full((len(words), 2), self.numbers(pa.array([""], pa.large_string()), False)[0], dtype=np.int64)
+        n, m = len(stems.dictionary), len(marks.dictionary)
+        numbers = self._numbers(stems.dictionary, pa.concat_arrays([marks.dictionary, rest]))
+        out = np.full((len(words), 2), self.empty, dtype=np.int32)
         at = plain.to_numpy(zero_copy_only=False)
-        out[at, 0] = self.numbers(stems.dictionary, True)[stems.indices.to_numpy()]
-        out[at, 1] = self.numbers(marks.dictionary, False)[marks.indices.to_numpy()]
-        out[~at, 0] = self.numbers(words.filter(pc.invert(plain)), False)
+        out[at, 0] = numbers[:n][stems.indices.to_numpy()]
+        out[at, 1] = numbers[n : n + m][marks.indices.to_numpy()]
+        out[~at, 0] = numbers[n + m :]
         return out
 
     def gathered(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +117,9 @@ class _Words:
         size = self.size[units]
         ends = np.cumsum(size)
         begin = ends - size
-        total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.repeat(self.start[units] - begin, size) + np.arange(total)], begin
+        at = np.repeat((self.start[units] - begin).astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.ids[at], begin
 
 
 @lru_cache(maxsize=1)
