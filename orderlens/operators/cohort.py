@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.frames import distinct_count
-from orderlens.functions.dates import month_start, months_between_labels
 from orderlens.functions.numeric import rate, rnd
 
 
-def cohort_counts(purchases: DataFrame, person: str, ts: str) -> DataFrame:
-    """Active persons per first-purchase month and months since then.
+# A person's months are bits of this many 64-bit words, numbered from the year 0 on and taken modulo their number.
+# Months of one person further apart than all words hold (85 years) would share bits: they stop the query.
+MONTH_WORDS = 16
+
+
+def _month_index(ts: str) -> Column:
+    day = F.col(ts).cast("date")
+    return (F.year(day) * 12 + F.month(day) - 1).cast("bigint")
+
+
+def active_months(purchases: DataFrame, person: str, ts: str, words: int = MONTH_WORDS) -> DataFrame:
+    """One row per person: ``first`` month, ``span`` of months after it and ``bits``, the months with a purchase.
 
-    Purchases are reduced to distinct (person, month) pairs first, with a
-    map-side step, so a person with very many orders reaches the window as at
-    most one row per calendar month.
+    A single aggregate with a map-side step: a task keeps one bitmap per person,
+    bitmaps of tasks merge by OR, and persons are shuffled once. Months are
+    counted from the year 0. Purchases without a time belong to no month.
     """
-    active = purchases.select(person, month_start(ts).alias("_month")).distinct()
-    first = F.min("_month").over(Window.partitionBy(person))
+    bit = "shiftleft(1L, int(pmod(_month, 64)))"
+    bits = [F.expr(f"bit_or(if(pmod(floor(_month / 64), {words}) = {k}, {bit}, 0L))").alias(f"_w{k}") for k in range(words)]
+    rows = purchases.select(person, _month_index(ts).alias("_month")).filter("_month IS NOT NULL")
+    span = F.max("_month") - F.min("_month")
+    merged = rows.groupBy(person).agg(F.min("_month").alias("first"), span.alias("span"), *bits)
+    too_far = F.raise_error(F.lit(f"purchases of one person lie more than {words * 64} months apart"))
+    return merged.select(
+        person,
+        "first",
+        F.when(F.col("span") < words * 64, F.col("span")).otherwise(too_far.cast("bigint")).alias("span"),
+        F.array(*[f"_w{k}" for k in range(words)]).alias("bits"),
+    )
+
+
+def cohort_counts(purchases: DataFrame, person: str, ts: str) -> DataFrame:
+    """Active persons per first-purchase month and months since then, from one bitmap of months per person."""
+    months = active_months(purchases, person, ts)
+    held = "shiftright(get(bits, int(pmod(floor((first + o) / 64), size(bits)))), int(pmod(first + o, 64))) & 1L"
+    offsets = F.expr(f"filter(sequence(0L, span), o -> {held} = 1L)")
+    first_day = F.make_date(F.floor(F.col("first") / 12).cast("int"), (F.pmod(F.col("first"), F.lit(12)) + 1).cast("int"), F.lit(1))
     return (
-        active.withColumn("cohort_month", first)
-        .groupBy("cohort_month", months_between_labels("cohort_month", "_month").alias("offset_month"))
+        months.select(first_day.alias("cohort_month"), F.explode(offsets).alias("offset_month"))
+        .groupBy("cohort_month", "offset_month")
         .agg(F.count(F.lit(1)).alias("user_cnt"))
     )
 
