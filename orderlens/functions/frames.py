@@ -65,6 +65,11 @@ def planned_input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether all sources of ``df`` together fit Spark's own broadcast limit."""
+    return planned_input_bytes(df) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast when all sources of ``df`` together fit Spark's own limit.
 
@@ -74,5 +79,16 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     lookups. Beyond the limit nothing is hinted: Spark then joins by shuffle and
     splits skewed partitions at run time.
     """
-    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return F.broadcast(df) if planned_input_bytes(df) <= limit else df
+    return F.broadcast(df) if fits_broadcast(df) else df
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """Inner join on ``key`` whose hot values are dealt to ``salts`` partitions by the values of ``spread``.
+
+    ``lookup`` is repeated ``salts`` times, so it should be much shorter than
+    ``rows``; ``rows`` keep their number. The split is part of the plan and does
+    not wait for what is seen at run time.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")

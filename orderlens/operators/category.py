@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import broadcast_if_small
+from orderlens.functions.frames import fits_broadcast, salted_join
 from orderlens.functions.numeric import major_units, minor_units, percent, rnd, total_units
 from orderlens.operators.lookups import translate
 from orderlens.operators.shares import top_k
@@ -22,10 +22,31 @@ def product_categories(model: CommerceModel) -> DataFrame:
     ).select("product_id", "category")
 
 
-def _order_categories(model: CommerceModel, products: DataFrame) -> DataFrame:
-    """Distinct (order, category) pairs of the items."""
-    items = model.order_items.select("order_id", "product_id")
-    return items.join(broadcast_if_small(products), "product_id").select("order_id", "category").distinct()
+def _order_categories(model: CommerceModel, products: DataFrame, money: bool = False) -> DataFrame:
+    """One row per (order, category) of the items, with ``_units`` and ``_items`` if ``money`` is asked for.
+
+    Products that fit a broadcast meet the items in their scan. Otherwise items
+    are summed per (order, product) first, so neither a hot product nor a hot
+    order is a key of its own, and these rows meet the products by a salted join.
+    """
+    measures = [total_units("_units").alias("_units"), F.sum("_items").alias("_items")] if money else []
+    columns = [minor_units("price").alias("_units"), F.col("price").isNotNull().cast("bigint").alias("_items")] if money else []
+    items = model.order_items.select("order_id", "product_id", *columns)
+    if fits_broadcast(products):
+        met = items.join(F.broadcast(products), "product_id")
+    else:
+        pair = items.groupBy("order_id", "product_id")
+        met = salted_join(pair.agg(*measures) if money else items.distinct(), products, "product_id", "order_id")
+    by = met.groupBy("order_id", "category")
+    return by.agg(*measures) if money else met.select("order_id", "category").distinct()
+
+
+def _products_sold(model: CommerceModel, products: DataFrame) -> DataFrame:
+    """Distinct products with items per category; a repeated translation counts once."""
+    sold = model.order_items.select("product_id").distinct()
+    return sold.join(products, "product_id").select("category", "product_id").distinct().groupBy("category").agg(
+        F.count(F.lit(1)).alias("product_cnt")
+    )
 
 
 def category_performance(
@@ -33,40 +54,32 @@ def category_performance(
 ) -> DataFrame:
     """Orders, revenue, mean price and products per category, largest first.
 
-    Money is summed per product before the category is attached, so a product
-    that holds a large part of the items reaches the join as one row. Orders are
-    counted on distinct (order, category) pairs. Each side reads two columns of
-    the items, and neither needs the row multiplication of two distinct counts
-    in one aggregate. ``details=False`` leaves out mean price and products.
+    Orders, revenue and items come from one frame with a row per (order,
+    category), see ``_order_categories``; products from their distinct ids.
+    ``details=False`` leaves out mean price and products.
     """
     products = product_categories(model)
     if drop_null:
         products = products.filter(F.col("category").isNotNull())
-    per_product = model.order_items.groupBy("product_id").agg(
-        F.sum(minor_units("price")).alias("_units"), F.count("price").alias("_items")
-    )
     sales = (
-        per_product.join(products, "product_id")
+        _order_categories(model, products, money=True)
         .groupBy("category")
         .agg(
-            total_units("_units").alias("_units"),
+            F.count(F.lit(1)).alias("order_cnt"),
+            F.sum("_units").alias("_units"),
             F.sum("_items").alias("_items"),
-            F.count(F.lit(1)).alias("product_cnt"),
         )
     )
-    orders = (
-        _order_categories(model, products)
-        .groupBy(F.col("category").alias("_category"))
-        .agg(F.count(F.lit(1)).alias("order_cnt"))
-    )
     revenue = major_units("_units")
-    extra = [
-        rnd(F.try_divide(revenue, F.col("_items").cast("double")), 2).alias("avg_price"),
-        F.col("product_cnt"),
-    ]
-    out = sales.join(orders, F.col("category").eqNullSafe(F.col("_category"))).select(
-        "category", "order_cnt", rnd(revenue, 2).alias("total_revenue"), *(extra if details else [])
-    )
+    out = sales.select("category", "order_cnt", rnd(revenue, 2).alias("total_revenue"), "_units", "_items")
+    if details:
+        price = rnd(F.try_divide(revenue, F.col("_items").cast("double")), 2).alias("avg_price")
+        sold = _products_sold(model, products).withColumnRenamed("category", "_category")
+        out = out.join(sold, F.col("category").eqNullSafe(F.col("_category"))).select(
+            "category", "order_cnt", "total_revenue", price, "product_cnt"
+        )
+    else:
+        out = out.drop("_units", "_items")
     return top_k(out, "order_cnt", k, ["category"]) if k else out
 
 
