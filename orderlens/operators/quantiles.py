@@ -26,6 +26,10 @@ from orderlens.functions.numeric import rnd
 CELLS_PER_OCTAVE = 16384
 SECOND_LEVEL_BITS = 20
 
+# Before the first level, runs of this many of its cells are counted as one: at
+# most 1,700 runs of a column meet in one task, and then the cells of few runs.
+RUN_BITS = 10
+
 
 # A logarithmic cell number that never decreases as v grows. The coalesce states
 # that it is never NULL: otherwise each level would get its own NULL filter
@@ -82,16 +86,22 @@ def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) ->
     """Rows (d, n, mean, v, tag): the value at every wanted rank of column ``d``."""
     totals = ["sum(cnt) OVER (PARTITION BY d) AS n", "sum(_sum) OVER (PARTITION BY d) AS _total"]
     if descend:
-        coarse = counts.selectExpr("d", "v", "cnt", f"{_COARSE} AS cell")
-        cells = coarse.groupBy("d", "cell").agg(
-            *map(F.expr, ["sum(cnt) AS cnt", "min(v) AS low", "max(v) AS high", "sum(double(v) * cnt) AS _sum"])
+        coarse = counts.selectExpr("d", "v", "cnt", f"{_COARSE} AS cell").selectExpr("*", f"shiftright(cell, {RUN_BITS}) AS run")
+        runs = coarse.groupBy("d", "run").agg(*map(F.expr, ["sum(cnt) AS cnt", "sum(double(v) * cnt) AS _sum"]))
+        runs = runs.selectExpr("*", *totals).selectExpr("d", "run", "cnt", "n", "_total / n AS mean")
+        found = _cells_with_ranks(runs, "d", "run", _wanted_ranks(probs))
+        cells = (
+            coarse.join(F.broadcast(found.select("d", "run", "n", "mean", "wanted")), ["d", "run"])
+            .groupBy("d", "run", "cell", "wanted")
+            .agg(*map(F.expr, ["sum(cnt) AS cnt", "min(v) AS low", "max(v) AS high", *_CARRIED]))
         )
+        found = _cells_with_ranks(cells, "d, run", "cell", "wanted")
     else:
         cells = counts.selectExpr("d", "v AS cell", "cnt", "v AS low", "v AS high", "double(v) * cnt AS _sum")
-    cells = cells.selectExpr("*", *totals).selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
-    found = _cells_with_ranks(cells, "d", "cell", _wanted_ranks(probs))
+        cells = cells.selectExpr("*", *totals).selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
+        found = _cells_with_ranks(cells, "d", "cell", _wanted_ranks(probs))
     if descend:
-        # Both joins broadcast at most 2 * len(probs) rows per column.
+        # All joins broadcast at most 2 * len(probs) rows per column.
         fine = (
             coarse.join(F.broadcast(found.select("d", "cell", "low", "high", "n", "mean", "wanted")), ["d", "cell"])
             .selectExpr("d", "cell", f"{_FINE} AS sub", "v", "cnt", "n", "mean", "wanted")

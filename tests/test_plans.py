@@ -1,7 +1,12 @@
 """Properties of the physical plans that matter at scale."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as contract
-from orderlens.operators import repurchase
+from orderlens.functions.numeric import minor_units
+from orderlens.operators import category, repurchase
+from orderlens.operators.quantiles import exact_quantiles
 from orderlens.operators.funnel import funnel
 from orderlens.operators.shares import distribution
 from orderlens.plans.parameters import ORDER_STAGES
@@ -10,6 +15,15 @@ from tests.conftest import SF
 QUERIES = contract.queries()
 
 
+@pytest.fixture
+def hot(spark):
+    """No table is small enough to be broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -52,10 +66,27 @@ def test_no_distinct_expand_in_category_performance(spark):
     assert "Expand" not in plan_of(QUERIES["q01_05_identity_audit"](spark, SF))
 
 
-def test_person_window_sees_distinct_months_only(spark):
+def test_cohorts_shuffle_persons_once(spark):
     plan = plan_of(QUERIES["q04_02_cohort_counts"](spark, SF))
-    below_window = plan[plan.index("Window"):]
-    assert "HashAggregate(keys=[customer_unique_id" in below_window
+    assert plan.count("Exchange hashpartitioning(customer_unique_id") == 1 and "Window" not in plan
+    partial = plan[plan.index("Exchange hashpartitioning(customer_unique_id") :]
+    assert "partial_bit_or" in partial
+
+
+def test_products_meet_sums_of_pairs_by_a_salted_join(star, hot):
+    for frame in (category.category_performance(star, k=None), category.category_repurchase(star, k=None)):
+        plan = plan_of(frame)
+        assert "Join [product_id" in plan and "_salt" in plan[plan.index("Join [product_id") :].split("\n")[0]
+        assert "HashAggregate(keys=[order_id" in plan[plan.index("_salt") :]
+
+
+def test_the_first_level_of_the_quantile_search_is_short(star):
+    units = star.order_items.select(minor_units("price").alias("u"))
+    out = exact_quantiles(units, {"price": (F.col("u"), 1.0)}, [0.1, 0.5])
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(d" in text and "shiftright(cell" in text
+    cells = [line for line in text.splitlines() if "windowspecdefinition" in line and "cell" in line]
+    assert cells and all("run#" in line or "sub#" in line for line in cells)
 
 
 def test_hot_key_is_aggregated_before_the_state_join(spark):

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from orderlens import CommerceModel
+from orderlens.functions.frames import salted_join
 from orderlens.operators import category, cohort, kpi, repurchase, rfm
 from orderlens.operators.funnel import funnel_by
 
@@ -100,7 +101,41 @@ def test_hot_product(spark, model, data, hot):
         products[c].add(product)
         cents[c] += round(price * 100)
     assert got == {c: (len(seen[c]), cents[c] / 100, len(products[c])) for c in seen}
-    assert "SortMergeJoin(skew=true)" in out._jdf.queryExecution().executedPlan().toString()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" in plan[plan.index("SortMergeJoin [product_id") :].split("\n")[0]
+
+
+def test_hot_product_without_lowered_thresholds(spark, model, data):
+    orders, items = data
+    products = category.product_categories(model)
+    pairs = model.order_items.select("order_id", "product_id").distinct()
+    met = salted_join(pairs, products.hint("merge"), "product_id", "order_id", salts=16).select("order_id", "product_id", "category")
+    assert sorted(met.collect()) == sorted({(o, p, name_of(p)) for o, p, _ in items})
+    shares = Counter((p, o % 16) for o, p in {(o, p) for o, p, _ in items} if p == 11)
+    assert max(shares.values()) < 0.1 * len(items)
+
+
+def test_repeated_translation_leaves_the_number_of_products(spark, model):
+    twice = model.category_translation.unionByName(model.category_translation)
+    doubled = CommerceModel.from_roles(spark, {**model.roles, "category_translation": twice})
+    counts = [{r.category: r.product_cnt for r in category.category_performance(m, k=None).collect()} for m in (model, doubled)]
+    assert counts[0] == counts[1]
+
+
+def test_cohorts_of_persons_over_many_years(spark):
+    rng, start = random.Random(5), dt.datetime(1969, 11, 30)
+    rows = [(rng.randrange(40) or None, start + dt.timedelta(days=rng.randrange(25_000))) for _ in range(900)] + [(3, None), (99, None)]
+    frame = spark.createDataFrame(rows, "person int, ts timestamp_ntz")
+    months = defaultdict(set)
+    for person, ts in rows:
+        if ts:
+            months[person].add(ts.year * 12 + ts.month - 1)
+    want = Counter((min(m), k - min(m)) for m in months.values() for k in m)
+    got = {(r.cohort_month.year * 12 + r.cohort_month.month - 1, r.offset_month): r.user_cnt for r in cohort.cohort_counts(frame, "person", "ts").collect()}
+    assert got == want
+    far = spark.createDataFrame([(1, dt.datetime(1900, 1, 1)), (1, dt.datetime(2020, 1, 1))], "person int, ts timestamp_ntz")
+    with pytest.raises(Exception, match="months apart"):
+        cohort.cohort_counts(far, "person", "ts").collect()
 
 
 def test_category_repurchase_of_hot_person(spark, model, data, hot):
