@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,6 +175,20 @@ def _align(min_words: int):
     return run
 
 
+def _left(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines at the positions in `gone`, in one pass over their lines."""
+
+    def one(text: str | None, gone: np.ndarray | None) -> str | None:
+        if text is None:
+            return None
+        lines = text.split("\n")
+        keep = np.ones(len(lines), dtype=bool)
+        keep[gone] = False
+        return "\n".join(line for line, kept in zip(lines, keep.tolist()) if kept)
+
+    return pd.Series([one(t, g) for t, g in zip(text, gone)], dtype=object)
+
+
 def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with blocks that an earlier document holds taken out of `text`, plus n_lines and lines_removed."""
     text = F.col("text").cast("string")
@@ -202,11 +217,11 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     keyed = docs.drop("n_lines", "lines_removed").withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text))
     gone = gone.withColumnsRenamed({"id": "__id", "th": "__th"})
     parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda _, k: ~F.array_contains("__gone", k))
+    left = F.pandas_udf(_left, "string")(F.when(F.col("__gone").isNotNull(), text), F.col("__gone"))  # other rows send no text to Python
     return (
         keyed.join(gone, ["__id", "__th"], "left")
         .withColumn("n_lines", F.when(F.length("text") > 0, F.size(parts)).otherwise(0))
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
         .withColumn("lines_removed", F.coalesce(F.size("__gone"), F.lit(0)))
         .drop("__id", "__th", "__gone")
     )

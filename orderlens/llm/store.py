@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset (tests, one machine)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder on a single machine and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or _own_folder()
 
 
 @cache
