@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm.decontaminate import contaminated
@@ -23,6 +23,22 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 NEAR_PERCENT = 80  # similarity of five-word shingle sets from which documents are near-duplicates
 
+LEAST_ITEM_WORDS = 4  # of a benchmark item that a document must not hold
+
+_PACKED = ("doc_id", "text", "__rest")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a struct of all other columns, whose names then can't clash with a stage's own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in _PACKED]
+    return docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("__none")).alias("__rest"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns that `_packed` took, some with new values."""
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), **new}
+    return rows.select(*[own.get(c, F.col("__rest")[c]).alias(c) for c in columns])
+
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
@@ -31,14 +47,14 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go."""
     model = fit_severity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return severity(docs, model, docs.columns).where("not rejected").select(docs.columns)
+    return _unpacked(severity(_packed(docs), model, _PACKED).where("not rejected"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks that an earlier document holds go; a document of nothing else goes with them."""
-    cleaned = deduplicated_lines(docs).where("lines_removed = 0 or trim(text) <> ''")
-    length = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(docs.columns)
+    cleaned = deduplicated_lines(_packed(docs)).where("lines_removed = 0 or trim(text) <> ''")
+    length = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("__rest.n_chars"))
+    return _unpacked(cleaned, docs.columns, n_chars=length)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +63,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id"))
+    """Documents that hold a benchmark item go. Items of fewer than LEAST_ITEM_WORDS words, which any text may hold, mark none."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = items.where(F.size(F.split(F.trim("text"), r"\s+")) >= LEAST_ITEM_WORDS)
+    return _without(docs, contaminated(docs, items).select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
