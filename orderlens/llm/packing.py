@@ -35,8 +35,9 @@ LENGTH = 2048
 END_ID = 0
 GROUP = 20_000
 MAX_ROUNDS = 8
-_SLICE_BYTES = 3 << 21
-_CACHE_WORDS = 700_000
+_SLICE_BYTES = 1 << 21
+_WORDS_AT_ONCE = 5_000
+_CACHE_WORDS = 600_000
 
 # Letters whose lower case is one letter, whatever stands around it, and which no normal form changes; marks
 # that neither join each other nor letters to other words than those of the vocabulary's splitter.
@@ -72,13 +73,17 @@ class _Words:
         return first
 
     def _encoded(self, words: list[str], letters: bool) -> list[np.ndarray]:
-        """The ids of each word. Words of letters only end with one end-of-word piece each, so they can go as one text."""
-        if letters and words:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(words):
-                return np.split(ids, cuts[:-1])
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        """The ids of each word. Words of letters only end with one end-of-word piece each, so many can go as one text."""
+        out: list[np.ndarray] = []
+        for part in (words[k : k + _WORDS_AT_ONCE] for k in range(0, len(words), _WORDS_AT_ONCE)):
+            if letters:
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(part):
+                    out += np.split(ids, cuts[:-1])
+                    continue
+            out += [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
 
     def _numbers(self, stems: pa.Array, others: pa.Array) -> np.ndarray:
         """The numbers of stems, which are letters only, and of other words; new ones are encoded."""
@@ -178,6 +183,7 @@ def _piece_batches(path: str, length: int):
                         ],
                         names=["doc_id", "piece", "start", "length", "ids"],
                     )
+            pa.default_memory_pool().release_unused()
 
     return run
 
