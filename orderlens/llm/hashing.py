@@ -1,7 +1,7 @@
 """64-bit hashes of words, lines and shingles of Arrow text columns, without a Python loop over words.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case; a line ends at ``\\n``.
-Texts are taken in slices of about two million bytes, so memory does not follow
+Texts are taken in slices of about a million bytes, so memory does not follow
 the batch; one longer text makes a slice of its own. Null counts as empty.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
@@ -54,7 +54,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _power_size(size: int) -> int:
-    return 1 << max(21, int(size).bit_length())
+    return 1 << max(20, int(size).bit_length())
 
 
 @dataclass

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from orderlens.llm.hashing import Units, mix, tokens
 
@@ -171,13 +171,14 @@ def _fit(grade: np.ndarray, row: np.ndarray, col: np.ndarray, value: np.ndarray,
     return w, theta + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
 
 
-def _scores(model: SeverityModel):
+def _scores(model: SeverityModel, keep: Sequence[str], at: int):
+    """The columns `keep` and the scores of the texts in column `at`."""
     weights = model.weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for units in tokens(batch.column(0)):
+            for units in tokens(batch.column(at)):
                 bucket, text = _features(units)
                 told = np.flatnonzero(weights[bucket])
                 pair, n = np.unique((text[told] << BITS) + bucket[told], return_counts=True)
@@ -191,7 +192,8 @@ def _scores(model: SeverityModel):
                 pa.array(grades.argmax(axis=1).astype(np.int32)),
                 pa.array(above[:, 0] >= REJECT_AT),
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *results], names=[*batch.schema.names[1:], *RESULTS])
+            kept = batch.select(keep)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *results], names=[*keep, *RESULTS])
 
     return run
 
@@ -202,7 +204,8 @@ def severity(docs: DataFrame, model: SeverityModel, keep: Sequence[str] = ("doc_
     Columns of `keep` that bear the name of a result give way to it.
     """
     keep = [c for c in keep if c not in RESULTS]
-    rows = docs.select(F.col("text").cast("string").alias("__scored"), *keep)
+    own = "text" in keep and docs.schema["text"].dataType == StringType()  # a kept text need not be sent twice
+    rows = docs.select(*keep) if own else docs.select(*keep, F.col("text").cast("string").alias("__scored"))
     fields = [rows.schema[c] for c in keep]
     added = StructType().add("severity", "double").add("p_toxic", "double").add("grade", "integer").add("rejected", "boolean")
-    return rows.mapInArrow(_scores(model), StructType([*fields, *added.fields]))
+    return rows.mapInArrow(_scores(model, keep, keep.index("text") if own else len(keep)), StructType([*fields, *added.fields]))
