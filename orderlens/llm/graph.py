@@ -11,13 +11,13 @@ from orderlens.llm.store import saved
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest node it can see."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of them. Edges run from the larger node."""
-    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
     down = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return down.unionByName(least.select("u", F.col("m").alias("v")))
 
@@ -26,9 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in `links` (a, b): root is the smallest node reachable.
 
     Works on pairs only, never on neighbour lists, so a node with very many
-    links is one aggregation key and one side of a join that Spark can split:
-    the smallest neighbours are written first, as Spark splits a join's side only
-    where nothing has been aggregated behind its shuffle.
+    links is one aggregation key and one key of a join, never one row.
     Self links and repeated links are allowed; no links give no rows.
     """
     edges = saved(

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -127,11 +126,6 @@ class _Words:
         return self.ids[at], begin
 
 
-@lru_cache(maxsize=1)
-def _word_ids(path: str) -> _Words:
-    return _Words(path)
-
-
 def _text_ids(known: _Words, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, each with its end id, one behind the other, and where each text begins (and the last ends).
 
@@ -159,7 +153,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 def _piece_batches(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _word_ids(path)
+        known = _Words(path)  # of this task only: idle workers keep no memory
         for batch in batches:
             column = batch.column(1).cast(pa.large_string()).fill_null("")
             for at, to in _slices(column):
