@@ -1,10 +1,12 @@
 """Word-piece counts by a longest-match automaton, without building pieces.
 
-The vocabulary is a trie over bytes; end-of-word marks of pieces are left out,
-as a greedy match can't look ahead to them. Each node has a failure link and the number of pieces that are final when the link is taken
-(LinMaxMatch, Song et al. 2021), so a word of n bytes takes O(n) steps whatever
-the pieces are. A word that no sequence of pieces covers greedily counts as one
-unknown piece.
+The vocabulary is a trie over bytes, and the end-of-word mark of its pieces is a
+symbol of its own that follows the last byte of each word; so a final piece only
+matches at the end of a word. Each node has a failure link and the number of
+pieces that are final when the link is taken (LinMaxMatch, Song et al. 2021), so
+a word of n bytes takes O(n) steps whatever the pieces are. A word that greedy
+matching does not cover, its end included, counts as one unknown piece and one
+in `n_unknown`; a tokenizer that merges pairs may still cut such a word.
 
 Words are runs of word characters or of other visible characters of the
 lower-case text. Counts of strings without white space are kept in a bounded
@@ -19,7 +21,7 @@ from __future__ import annotations
 import json
 import re
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,11 +30,13 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _CACHE_WORDS = 200_000
+END = 256  # the symbol after the last byte of a word
+_END_MARK = "</w>"
 _FIELD = 40  # bits of a count when several share an integer
 
 
 class Automaton:
-    def __init__(self, pieces: Iterable[bytes]):
+    def __init__(self, pieces: Iterable[Sequence[int]]):
         self.goto: dict[int, int] = {}
         final, parent = [False], [(0, 0)]
         for piece in pieces:
@@ -64,8 +68,8 @@ class Automaton:
             if at >= 0:
                 self.link[node], self.popped[node] = self.goto[(at << 9) | symbol], count
 
-    def count(self, word: bytes) -> int:
-        """Pieces of a word, or -1 if greedy matching gets stuck."""
+    def count(self, word: Sequence[int]) -> int:
+        """Pieces of a word (bytes, and END if pieces hold it), or -1 if greedy matching gets stuck."""
         at, pieces, goto = 0, 0, self.goto
         for symbol in word:
             while (edge := (at << 9) | symbol) not in goto:
@@ -87,12 +91,12 @@ def _byte_names() -> dict[str, int]:
     return names | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
-def vocabulary(path: str) -> set[bytes]:
-    """Pieces of a byte-level vocabulary file, without their `</w>`."""
+def vocabulary(path: str) -> set[tuple[int, ...]]:
+    """Pieces of a byte-level vocabulary file as bytes, followed by END where they close a word."""
     names = _byte_names()
     with open(path, encoding="utf-8") as file:
-        pieces = (piece.removesuffix("</w>") for piece in json.load(file)["model"]["vocab"])
-        return {bytes(names[c] for c in piece) for piece in pieces}
+        pieces = json.load(file)["model"]["vocab"]
+    return {(*(names[c] for c in piece.removesuffix(_END_MARK)), *((END,) if piece.endswith(_END_MARK) else ())) for piece in pieces}
 
 
 class _Counts(dict):
@@ -107,7 +111,7 @@ class _Counts(dict):
             self.clear()
         total = 0
         for word in _WORD.findall(held):
-            n = self.automaton.count(word.encode())
+            n = self.automaton.count((*word.encode(), END))
             total += 1 + (max(n, 1) << _FIELD) + ((n < 0) << (2 * _FIELD))
         self[held] = total
         return total
