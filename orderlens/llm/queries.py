@@ -19,7 +19,7 @@ from orderlens.llm.merkle import folded, leaf_digest, manifest, proof_digest
 from orderlens.llm.nearest import nearest
 from orderlens.llm.oracle import STATEMENTS
 from orderlens.llm.packing import packed_documents
-from orderlens.llm.sharding import hilbert_shards, text_key
+from orderlens.llm.sharding import hilbert_shards
 from orderlens.llm.store import new_path
 from orderlens.llm.token_counts import token_counts
 from orderlens.llm.toxicity import fit_severity, severity
@@ -45,7 +45,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards by language, source and length, with counts at most one apart."""
     docs = _table(spark, sf_dir, "documents")
-    by = {"lang": text_key("lang"), "source": text_key("source"), "n_chars": F.col("n_chars")}
+    by = {name: F.col(name) for name in ("lang", "source", "n_chars")}
     out = hilbert_shards(docs, 24, by, ["doc_id"], "rows")
     return out.select(
         "doc_id",

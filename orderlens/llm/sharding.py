@@ -1,7 +1,9 @@
 """Shards along a Hilbert curve over metadata, for files that several columns can prune.
 
-1. Each dimension is quantised by its own percentiles, 2**BITS - 1 cut points
-   each; these few numbers are all that comes to the driver.
+1. Each dimension is quantised by its own percentiles, at most 2**BITS - 1 cut
+   points each; these few values are all that comes to the driver. Strings are
+   ranked as whole values: counts by distinct value are dealt by ranges, and a
+   value's level follows from the rows with smaller values.
 2. The Hilbert index of the quantised point (Skilling's transform) is the cell.
 3. Rows are ranked by (cell, salt, order columns). Counts by cell and salt are
    summed up first; only the rank within one salt of one cell needs the rows
@@ -23,6 +25,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderlens.llm.order import by_ranges
 from orderlens.llm.store import saved
 
 BITS = 5
@@ -30,18 +33,31 @@ SALTS = 64
 ROW_BYTES = 8
 
 
-def text_key(column: str) -> Column:
-    """A number that orders strings by their first seven bytes."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "utf-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
-def _quantised(value: Column, cuts: Sequence[float]) -> Column:
+def _quantised(value: Column, cuts: Sequence[float] | Sequence[str]) -> Column:
     if not cuts:
         return F.lit(0).cast("long")
     return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= value)).cast("long")
 
 
+def _text_cuts(values: DataFrame, bits: int) -> list[str]:
+    """The smallest string of every level but the lowest.
+
+    `values` has one column, `value`. A string's level is the share of rows with
+    smaller strings, so one that many rows hold takes a level alone. Distinct
+    strings are ordered within ranges; only counts of ranges meet in one task.
+    """
+    counts = values.groupBy("value").agg(F.count("*").alias("n"))
+    ranged = saved(by_ranges(counts, "value").withColumn("part", F.spark_partition_id()), "text-ranges")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("held"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy()).alias("rows"))
+    inside = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranked = ranged.join(F.broadcast(parts), "part").withColumn("below", below)
+    levels = ranked.withColumn("level", F.expr(f"(below * {1 << bits}) div rows")).where("level > 0")
+    return sorted(r.cut for r in levels.groupBy("level").agg(F.min("value").alias("cut")).collect())
+
+
 def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
     """Place on the Hilbert curve of a point with `bits`-bit coordinates."""
     n = len(coordinates)
@@ -80,11 +96,21 @@ def hilbert_index(coordinates: Sequence[Column], bits: int) -> Column:
 
 
 def with_cell(df: DataFrame, dimensions: Mapping[str, Column], bits: int = BITS) -> DataFrame:
-    """`df` with the Hilbert cell of its quantised dimensions as `__cell`."""
+    """`df` with the Hilbert cell of its quantised dimensions (numbers or strings) as `__cell`."""
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    found = df.agg(*(F.percentile_approx(c, shares, 10_000).alias(name) for name, c in dimensions.items())).first()
-    points = [_quantised(c, sorted(set(found[name] or []))) for name, c in dimensions.items()]
-    return df.withColumn("__cell", hilbert_index(points, bits))
+    texts = {n for n, kind in df.select(*(c.alias(n) for n, c in dimensions.items())).dtypes if kind == "string"}
+    cuts = {name: _text_cuts(df.select(dimensions[name].alias("value")), bits) for name in sorted(texts)}
+    numbers = [F.percentile_approx(c, shares, 10_000).alias(name) for name, c in dimensions.items() if name not in texts]
+    if numbers:
+        found = df.agg(*numbers).first().asDict()
+        cuts |= {name: sorted(set(found[name] or [])) for name in found}
+    return df.withColumn("__cell", hilbert_index([_quantised(c, cuts[name]) for name, c in dimensions.items()], bits))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; those that hold maps take part as JSON."""
+    held = [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in kind else F.col(f"`{n}`") for n, kind in df.dtypes]
+    return F.xxhash64(*held)
 
 
 def hilbert_shards(
@@ -123,7 +149,7 @@ def hilbert_shards(
         F.col("cn_all").alias("__rows"),
         F.col("cs_all").alias("__total"),
     )
-    tied = [*order, F.xxhash64(*plain.columns)]
+    tied = [*order, _row_hash(plain)]
     inside = Window.partitionBy("__cell", "__salt").orderBy(*tied)
     ranked = celled.join(starts, ["__cell", "__salt"]).withColumn("__rank", F.col("__rank0") + F.row_number().over(inside) - 1)
     if law == "rows":

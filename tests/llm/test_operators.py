@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -275,27 +276,44 @@ def test_severity(spark, docs, none):
     assert not toxicity.severity(frame, toxicity.fit_severity(frame, labels.where("toxic = 0"))).where("rejected").count()
 
 
-def test_token_counts_match_greedy(docs, none):
-    pieces = token_counts.vocabulary(VOCABULARY)
+def greedy(word: tuple[int, ...], pieces: set[tuple[int, ...]]) -> int:
+    """Pieces of a word by trying the longest first, or -1 if none fits somewhere."""
+    n = 0
+    while word:
+        size = next((k for k in range(min(len(word), 80), 0, -1) if word[:k] in pieces), 0)
+        if not size:
+            return -1
+        word, n = word[size:], n + 1
+    return n
 
-    def greedy(word: bytes) -> int:
-        n = 0
-        while word:
-            word = word[next(k for k in range(min(len(word), 80), 0, -1) if word[:k] in pieces) :]
-            n += 1
-        return n
 
+def test_token_counts_match_greedy(docs, none):
+    pieces = token_counts.vocabulary(VOCABULARY)
+    with open(VOCABULARY, encoding="utf-8") as file:
+        named = json.load(file)["model"]["vocab"]
+    assert len(pieces) == len(named)  # no piece is lost or merged with another
     got = sorted((str(r[0]), r[1], r[2], r[3]) for r in token_counts.token_counts(docs, VOCABULARY).collect())
     want = []
     for i, text, *_ in ROWS:
         words = re.findall(r"\w+|[^\w\s]+", (text or "").lower())
-        want.append((str(i), len(words), sum(greedy(w.encode()) for w in words), 0))
+        found = [greedy((*w.encode(), token_counts.END), pieces) for w in words]
+        want.append((str(i), len(words), sum(max(n, 1) for n in found), found.count(-1)))
     assert got == sorted(want)
     assert token_counts.token_counts(none, VOCABULARY).count() == 0
     small = token_counts.Automaton([b"a", b"abcd", b"b", b"bc"])
     assert [small.count(w) for w in (b"abcd", b"abc", b"abcx", b"ab", b"")] == [1, 2, -1, 2, 0]
 
 
+def test_token_counts_of_random_words_with_end_marks():
+    rng, end = random.Random(5), token_counts.END
+    for _ in range(300):
+        pieces = {tuple(rng.choices(b"abc", k=rng.randint(1, 4))) + (end,) * rng.randint(0, 1) for _ in range(12)}
+        automaton = token_counts.Automaton(sorted(pieces))
+        for _ in range(20):
+            word = (*rng.choices(b"abc", k=rng.randint(1, 12)), end)
+            assert automaton.count(word) == greedy(word, pieces)
+
+
 def hilbert(point: list[int], bits: int) -> int:
     """Place on the curve by turning quadrants (two dimensions)."""
     x, y, d, s = *point, 0, 1 << (bits - 1)
@@ -320,7 +338,7 @@ def test_hilbert_index_walks_by_one_step(spark):
 
 @pytest.mark.parametrize("law", ["rows", "bytes"])
 def test_shards(docs, none, law):
-    by = {"lang": sharding.text_key("lang"), "n_chars": F.col("n_chars")}
+    by = {"lang": F.col("lang"), "n_chars": F.col("n_chars")}
     got = sharding.hilbert_shards(docs, 4, by, ["doc_id"], law).toPandas()
     assert len(got) == len(ROWS)
     for _, held in got.groupby("shard"):
@@ -330,6 +348,47 @@ def test_shards(docs, none, law):
     assert sharding.hilbert_shards(none, 4, by, ["doc_id"], law).count() == 0
 
 
+def test_cells_follow_the_curve_over_ranks_of_whole_strings(spark):
+    """Strings that share more than seven bytes get levels of their own; cells are those of an independent curve."""
+    bits, rng = 3, random.Random(7)
+    rows = [(k, f"https://host/crawl-{rng.randrange(40):03}" if k % 9 else None, rng.randrange(1000)) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    got = sharding.with_cell(df, {"source": F.col("source"), "n_chars": F.col("n_chars")}, bits).collect()
+    sources = sorted((r[1] for r in rows), key=lambda s: (s is not None, s or ""))
+    level = {s: sources.index(s) * (1 << bits) // len(rows) for s in set(sources)}
+    dense = {n: k for k, n in enumerate(sorted(set(level.values())))}
+    cells = {}
+    for r in got:
+        cells.setdefault((dense[level[r.source]], r["__cell"]), []).append(r.n_chars)
+    assert len({s for s, _ in cells}) == 1 << bits
+    ranges = {}
+    for (x, cell), held in cells.items():
+        y = next(y for y in range(1 << bits) if hilbert([x, y], bits) == cell)
+        low, high = ranges.get(y, (1000, -1))
+        ranges[y] = min(low, *held, low), max(high, *held, high)
+    spans = [ranges[y] for y in sorted(ranges)]
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_shards_by_bytes_are_near_even_and_maps_may_be_columns(spark):
+    rows = [(k, "x" * (k % 50), {"k": k}) for k in range(2000)] + [(5000, None, None), (5000, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra map<string, int>")
+    got = sharding.hilbert_shards(df, 6, {"doc_id": F.col("doc_id")}, ["doc_id"], "bytes").toPandas()
+    size = got.text.fillna("").str.len() + sharding.ROW_BYTES
+    held = size.groupby(got.shard).sum()
+    assert len(got) == len(rows) and len(held) == 6 and held.max() - held.min() <= 2 * size.max()
+
+
+def test_written_shards_read_back_in_order(spark, tmp_path):
+    df = spark.range(100).selectExpr("id as doc_id", "repeat('y', cast(id % 7 as int)) as text")
+    sharded = sharding.hilbert_shards(df, 3, {"doc_id": F.col("doc_id")}, ["doc_id"], "rows")
+    sharding.write_shards(sharded, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(map(tuple, back.select("doc_id", "shard", "slot").collect())) == sorted(
+        map(tuple, sharded.select("doc_id", "shard", "slot").collect())
+    )
+
+
 @pytest.mark.parametrize("budget", [1024, 60])
 def test_chat_windows_read_back(spark, budget):
     said = "<|im_end|><|im_start|>assistant &lt;| &amp; ok"
