@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.frames import distinct_count, gather_row
 from orderlens.functions.numeric import major_units, minor_units, percent, rnd, total_units
+from orderlens.operators.sketches import distinct_sketches, estimated
 from orderlens.sources.model import CommerceModel
 
 
@@ -20,7 +21,11 @@ def order_metrics(model: CommerceModel) -> DataFrame:
     )
 
 
-def person_metrics(model: CommerceModel) -> DataFrame:
+def person_metrics(model: CommerceModel, lg_k: int | None = None) -> DataFrame:
+    """Distinct persons; with ``lg_k`` an estimate from sketches of that size, without a shuffle of persons."""
+    if lg_k is not None:
+        sketch = distinct_sketches(model.identities, [], "customer_unique_id", lg_k)
+        return sketch.select(estimated().alias("unique_customers"))
     return distinct_count(model.identities, "customer_unique_id", "unique_customers")
 
 

@@ -17,7 +17,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.functions.frames import as_struct, gather_row, rows_from_columns
+from orderlens.functions.frames import as_struct, rows_from_columns
 from orderlens.functions.numeric import rnd
 
 # First level: this many cells per power of two. Second level: at most 2**21
@@ -41,6 +41,9 @@ _COARSE = (
 # Cell number inside a known range [low, high], at most 2**(bits + 1) different.
 _FINE = f"shiftright(v - low, greatest(0, int(ceil(log2(high - low + 1D))) - {SECOND_LEVEL_BITS}))"
 
+# Whole numbers add up to the same sum in any order.
+_EXACT_SUM = "sum(cast(v AS decimal(19,0)) * cast(cnt AS decimal(19,0)))"
+
 _CARRIED = ["first(n) AS n", "first(mean) AS mean"]
 
 
@@ -84,10 +87,10 @@ def value_counts(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
 
 def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) -> DataFrame:
     """Rows (d, n, mean, v, tag): the value at every wanted rank of column ``d``."""
-    totals = ["sum(cnt) OVER (PARTITION BY d) AS n", "sum(_sum) OVER (PARTITION BY d) AS _total"]
+    totals = ["sum(cnt) OVER (PARTITION BY d) AS n", "double(sum(_sum) OVER (PARTITION BY d)) AS _total"]
     if descend:
         coarse = counts.selectExpr("d", "v", "cnt", f"{_COARSE} AS cell").selectExpr("*", f"shiftright(cell, {RUN_BITS}) AS run")
-        runs = coarse.groupBy("d", "run").agg(*map(F.expr, ["sum(cnt) AS cnt", "sum(double(v) * cnt) AS _sum"]))
+        runs = coarse.groupBy("d", "run").agg(*map(F.expr, ["sum(cnt) AS cnt", f"{_EXACT_SUM} AS _sum"]))
         runs = runs.selectExpr("*", *totals).selectExpr("d", "run", "cnt", "n", "_total / n AS mean")
         found = _cells_with_ranks(runs, "d", "run", _wanted_ranks(probs))
         cells = (
@@ -97,7 +100,7 @@ def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) ->
         )
         found = _cells_with_ranks(cells, "d, run", "cell", "wanted")
     else:
-        cells = counts.selectExpr("d", "v AS cell", "cnt", "v AS low", "v AS high", "double(v) * cnt AS _sum")
+        cells = counts.selectExpr("d", "v AS cell", "cnt", "v AS low", "v AS high", "cast(v AS decimal(19,0)) * cast(cnt AS decimal(19,0)) AS _sum")
         cells = cells.selectExpr("*", *totals).selectExpr("d", "cell", "cnt", "low", "high", "n", "_total / n AS mean")
         found = _cells_with_ranks(cells, "d", "cell", _wanted_ranks(probs))
     if descend:
@@ -121,6 +124,19 @@ def _ranked_values(counts: DataFrame, probs: Sequence[float], descend: bool) ->
     return found.selectExpr("d", "n", "mean", "low AS v", "explode(wanted.tag) AS tag")
 
 
+def deviations(counts: DataFrame) -> DataFrame:
+    """Rows (d, dev): sample deviation of every column, from its value counts.
+
+    The mean is known before squares are summed, so columns far from zero lose
+    no digits. Both steps read the shuffle that the quantile search reads.
+    """
+    means = counts.groupBy("d").agg(*map(F.expr, ["sum(cnt) AS n", f"double({_EXACT_SUM}) / sum(cnt) AS mean"]))
+    squares = counts.join(F.broadcast(means), "d").groupBy("d").agg(
+        F.first("n").alias("n"), F.expr("sum((v - mean) * (v - mean) * cnt)").alias("squares")
+    )
+    return squares.selectExpr("d", "CASE WHEN n > 1 THEN sqrt(squares / (n - 1)) END AS dev")
+
+
 def order_statistics(
     df: DataFrame,
     columns: Mapping[str, Column],
@@ -194,18 +210,21 @@ def quantile_row(
     probs: Mapping[str, float],
     digits: int | None = 6,
     descend: bool = True,
+    deviation: bool = False,
 ) -> DataFrame:
     """The same quantiles as one row, with a column ``<name>_<suffix>`` each.
 
     ``probs`` maps suffix to probability. ``<name>_n`` and ``<name>_mean`` hold
-    the number of values and their mean. ``descend=False`` takes the built-in
+    the number of values and their mean, ``<name>_dev`` with ``deviation`` their
+    sample deviation. ``descend=False`` takes the built-in
     aggregate, for columns with a bounded number of distinct values.
     """
     build = _searched_row if descend else _percentile_row
-    raw = build(df, [c for c, _ in columns.values()], list(probs.values()))
+    raw = build(df, [c for c, _ in columns.values()], list(probs.values()), deviation)
     out = []
     for d, (name, (_, unit)) in enumerate(columns.items()):
         out += [f"n{d} AS {name}_n", f"mean{d} / {_sql_double(unit)} AS {name}_mean"]
+        out += [f"dev{d} / {_sql_double(unit)} AS {name}_dev"] if deviation else []
         for i, suffix in enumerate(probs):
             value = f"q{d}[{i}] / {_sql_double(unit)}"
             if digits is not None:
@@ -214,29 +233,34 @@ def quantile_row(
     return raw.selectExpr(*out)
 
 
-def _percentile_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float]) -> DataFrame:
-    """Count, mean and quantile array of each column, by the built-in aggregate."""
+def _percentile_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float], deviation: bool) -> DataFrame:
+    """Count, mean, deviation and quantile array of each column, by built-in aggregates."""
     points = f"array({', '.join(map(_sql_double, probs))})"
     units = df.select(*[c.cast("bigint").alias(f"v{d}") for d, c in enumerate(columns)])
     parts = []
     for d in range(len(columns)):
         parts += [f"count(v{d}) AS n{d}", f"avg(v{d}) AS mean{d}", f"percentile(v{d}, {points}) AS q{d}"]
+        parts += [f"stddev_samp(v{d}) AS dev{d}"] if deviation else []
     return units.selectExpr(*parts)
 
 
-def _searched_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float]) -> DataFrame:
+def _searched_row(df: DataFrame, columns: Sequence[Column], probs: Sequence[float], deviation: bool) -> DataFrame:
     """The same row from the counting search."""
-    hits = _ranked_values(value_counts(df, columns), probs, True)
+    counts = value_counts(df, columns)
+    hits = _ranked_values(counts, probs, True)
+    if deviation:
+        hits = hits.unionByName(deviations(counts), allowMissingColumns=True)
     picked, out = [], []
     for d in range(len(columns)):
         picked += [f"max(n) FILTER (WHERE d = {d}) AS n{d}", f"max(mean) FILTER (WHERE d = {d}) AS mean{d}"]
+        picked += [f"max(dev) FILTER (WHERE d = {d}) AS dev{d}"] if deviation else []
         picked += [f"max(v) FILTER (WHERE d = {d} AND tag = {t}) AS v{d}_{t}" for t in range(2 * len(probs))]
         values = []
         for i, p in enumerate(probs):
             position = f"(double(n{d} - 1) * {_sql_double(p)})"
             low, high = f"v{d}_{2 * i}", f"v{d}_{2 * i + 1}"
             values.append(f"double({low}) + ({position} - floor({position})) * double({high} - {low})")
-        out += [f"coalesce(n{d}, 0L) AS n{d}", f"mean{d}", f"array({', '.join(values)}) AS q{d}"]
+        out += [f"coalesce(n{d}, 0L) AS n{d}", f"mean{d}", *([f"dev{d}"] if deviation else []), f"array({', '.join(values)}) AS q{d}"]
     return hits.selectExpr(*picked).selectExpr(*out)
 
 
@@ -262,17 +286,14 @@ def describe_numeric(
     """Count, mean, sample deviation, min, quartiles and max per column, in rows.
 
     Quartiles are exact and interpolated, unlike those of ``DataFrame.summary``.
+    All statistics come from one set of value counts, so ``df`` runs once.
     ``_ord`` is the position of the statistic.
     """
     stats = {"min": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "max": 1.0}
-    row = quantile_row(df, columns, stats, digits)
-    spread = df.agg(
-        *[F.stddev_samp(c.cast("double") / F.lit(float(u))).alias(f"{n}_std") for n, (c, u) in columns.items()]
-    )
-    shown = {"count": "n", "mean": "mean", "std": "std", "min": "min", "25%": "q25", "50%": "q50", "75%": "q75", "max": "max"}
-    both = gather_row(df.sparkSession, [row, spread])
+    row = quantile_row(df, columns, stats, digits, deviation=True)
+    shown = {"count": "n", "mean": "mean", "std": "dev", "min": "min", "25%": "q25", "50%": "q50", "75%": "q75", "max": "max"}
     return rows_from_columns(
-        both,
+        row,
         [
             {"_ord": F.lit(i), "stat": F.lit(stat), **{n: rnd(F.col(f"{n}_{field}"), digits) for n in columns}}
             for i, (stat, field) in enumerate(shown.items())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.functions.frames import as_struct, inline_table, rows_from_columns
@@ -207,18 +207,28 @@ def segment_summary(
     return named.select(*columns, *(["_ord"] if keep_empty else []))
 
 
-def minmax_scale(df: DataFrame, columns: Mapping[str, Column], eps: float = 1e-10, digits: int = 6) -> DataFrame:
-    """Scale columns to 0..1 by their own range; NULL stays NULL."""
-    bounds = df.agg(
-        *[F.min(c.cast("double")).alias(f"{n}_min") for n, c in columns.items()],
-        *[F.max(c.cast("double")).alias(f"{n}_max") for n, c in columns.items()],
-    )
+def minmax_scale(
+    df: DataFrame, columns: Mapping[str, Column], eps: float = 1e-10, digits: int = 6, total: str = "scalar"
+) -> DataFrame:
+    """Scale columns to 0..1 by their own range; NULL stays NULL.
+
+    ``total="window"`` is for report-sized inputs: ``df`` runs once and its rows
+    meet in one task. ``total="scalar"`` finds the ranges by an aggregate of their
+    own and leaves the rows where they are; use it for rows that grow with the data.
+    """
+    ends = {f"{n}_{end}": f(c.cast("double")) for n, c in columns.items() for end, f in (("min", F.min), ("max", F.max))}
+    if total == "scalar":
+        bounds: Column = as_struct(df.agg(*[end.alias(name) for name, end in ends.items()]))
+    elif total == "window":
+        bounds = F.struct(*[end.over(Window.partitionBy()).alias(name) for name, end in ends.items()])
+    else:
+        raise ValueError(f"unknown total mode: {total}")
 
     def scaled(name: str, value: Column) -> Column:
         low, high = F.col(f"_bounds.{name}_min"), F.col(f"_bounds.{name}_max")
         return rnd((value.cast("double") - low) / (high - low + F.lit(eps)), digits)
 
-    return df.withColumn("_bounds", as_struct(bounds)).withColumns(
+    return df.withColumn("_bounds", bounds).withColumns(
         {n: scaled(n, c) for n, c in columns.items()}
     ).drop("_bounds")
 
@@ -230,33 +240,29 @@ def segment_heatmap(summary: DataFrame) -> DataFrame:
         "avg_frequency": F.col("avg_frequency"),
         "avg_monetary": F.col("avg_monetary"),
     }
-    return minmax_scale(summary, profile).select("segment", *profile)
+    return minmax_scale(summary, profile, total="window").select("segment", *profile)
 
 
 def rfm_describe(base: DataFrame) -> DataFrame:
-    """One row of averages, medians and extremes of the three measures."""
-    quantiles = quantile_struct(base, rfm_measures(), {"min": 0.0, "med": 0.5, "max": 1.0})
-    averages = base.agg(
-        F.count(F.lit(1)).alias("user_cnt"),
-        rnd(F.avg("recency"), 2).alias("avg_recency"),
-        rnd(F.avg("frequency"), 2).alias("avg_frequency"),
-        rnd(F.try_divide(major_units(total_units("monetary_units")), F.count(F.lit(1)).cast("double")), 2).alias(
-            "avg_monetary"
-        ),
-    )
-    q = averages.withColumn("_q", quantiles)
+    """One row of averages, medians and extremes of the three measures, from one pass over ``base``.
+
+    Every person has a frequency, so its count is that of the persons.
+    """
+    q = quantile_row(base, rfm_measures(), {"min": 0.0, "med": 0.5, "max": 1.0})
+    users = F.col("frequency_n")
+    spent = F.col("monetary_mean") * F.col("monetary_n")
     return q.select(
-        "user_cnt",
-        "avg_recency",
-        F.col("_q.recency_med").alias("median_recency"),
-        F.col("_q.recency_min").cast("bigint").alias("min_recency"),
-        F.col("_q.recency_max").cast("bigint").alias("max_recency"),
-        "avg_frequency",
-        F.col("_q.frequency_med").alias("median_frequency"),
-        F.col("_q.frequency_max").cast("bigint").alias("max_frequency"),
-        "avg_monetary",
-        F.col("_q.monetary_med").alias("median_monetary"),
-        F.col("_q.monetary_max").alias("max_monetary"),
+        users.alias("user_cnt"),
+        rnd(F.col("recency_mean"), 2).alias("avg_recency"),
+        F.col("recency_med").alias("median_recency"),
+        F.col("recency_min").cast("bigint").alias("min_recency"),
+        F.col("recency_max").cast("bigint").alias("max_recency"),
+        rnd(F.col("frequency_mean"), 2).alias("avg_frequency"),
+        F.col("frequency_med").alias("median_frequency"),
+        F.col("frequency_max").cast("bigint").alias("max_frequency"),
+        rnd(F.try_divide(spent, users.cast("double")), 2).alias("avg_monetary"),
+        F.col("monetary_med").alias("median_monetary"),
+        F.col("monetary_max").alias("max_monetary"),
     )
 
 

@@ -162,7 +162,7 @@ def duration_by_status(m, p):
 
 @named("q02_04_funnel_by_state", "funnel", "Delivery and carrier rate per state, ten largest")
 def funnel_by_state(m, p):
-    return funnel_by(m.person_orders, "customer_state", P.STATE_RATIOS, min_rows=p.min_rows, lookup=m.states)
+    return funnel_by(m.state_orders, "customer_state", P.STATE_RATIOS, min_rows=p.min_rows, lookup=m.states)
 
 
 @named("n2_funnel_rowbase", "funnel", "Order funnel over the number of rows")

@@ -19,6 +19,7 @@ from orderlens.operators.funnel import funnel
 from orderlens.operators.lookups import dedup_by_key
 from orderlens.operators.quantiles import describe_numeric, exact_quantiles, winsorize
 from orderlens.operators.shares import avg_of_group, share_of_total
+from orderlens.operators.sketches import distinct_sketches, estimated, roll_up, standard_error
 from orderlens.plans.marts import build_marts, report_facts
 from orderlens.plans.oracle import PCT, R, sql
 from orderlens.plans.parameters import STAR_PARAMETERS
@@ -181,6 +182,18 @@ def kpi_reconciliation(m, directory):
     return reconcile.reconcile(actual, expected, tol=0.005)
 
 
+@check("approximate_users_by_event")
+def approximate_users_by_event(m, directory):
+    """Sketches per event type and day, rolled up to the type: exact count, and whether the estimate is within three standard errors."""
+    events = m.spark.read.parquet(f"{directory}/events.parquet").withColumn("day", F.col("ts").cast("date"))
+    rough = roll_up(distinct_sketches(events, ["event_type", "day"], "user_id"), ["event_type"])
+    exact = events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+    off = F.abs(F.col("_estimate") - F.col("users"))
+    return exact.join(rough.select("event_type", estimated().alias("_estimate")), "event_type").select(
+        "event_type", "users", (off <= F.col("users") * F.lit(3 * standard_error())).alias("within_bound")
+    )
+
+
 @check("report_figures")
 def report_figures(m, directory):
     return report_facts(m)
@@ -355,6 +368,8 @@ def check_statements() -> dict[str, str]:
             f"FROM ({_kpi_rows()}))",
             "done", "percust", "baskets",
         ),
+        "approximate_users_by_event": "SELECT event_type, COUNT(DISTINCT user_id) AS users, TRUE AS within_bound "
+        "FROM events GROUP BY event_type",
         "report_figures": _report_statement(),
         "average_basket": sql(
             f"SELECT {R('AVG(total)', 2)} AS avg_total, {R('AVG(items)', 2)} AS avg_items FROM baskets", "baskets"

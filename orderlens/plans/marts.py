@@ -81,7 +81,7 @@ def build_marts(
         "funnel": stage_rows,
         "stage_times": stage_times,
         "funnel_by_state": lambda: funnel_by(
-            model.person_orders, "customer_state", P.DELIVERY_RATE, min_rows=params.min_rows, lookup=model.states
+            model.state_orders, "customer_state", P.DELIVERY_RATE, min_rows=params.min_rows, lookup=model.states
         ),
         "rfm": segment_rows,
         "cohort": lambda: retention().withColumn("cohort_month", F.date_format("cohort_month", "yyyy-MM")),

@@ -65,6 +65,11 @@ class CommerceModel:
         """The cheapest frame with the same rows as the role, for counting."""
         return self.row_sources.get(role, self.roles[role])
 
+    @property
+    def state_orders(self) -> DataFrame:
+        """Orders with the key of ``states``; persons are joined only where that key needs them."""
+        return self.orders if self.states.key in self.orders.columns else self.person_orders
+
     def delivered(self, df: DataFrame) -> DataFrame:
         return df.filter(F.col("order_status") == F.lit(self.delivered_status))
 

@@ -5,11 +5,15 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from orderlens.functions.numeric import minor_units
-from orderlens.operators import category, repurchase
-from orderlens.operators.quantiles import exact_quantiles
+from orderlens.operators import category, repurchase, rfm
+from orderlens.operators.kpi import person_metrics
+from orderlens.operators.quantiles import exact_quantiles, quantile_row
 from orderlens.operators.funnel import funnel
 from orderlens.operators.shares import distribution
-from orderlens.plans.parameters import ORDER_STAGES
+from orderlens.plans.marts import build_marts
+from orderlens.plans.parameters import ORDER_STAGES, Parameters
+from orderlens.sources.model import CommerceModel
+from orderlens.sources.schemas import ROLE_COLUMNS
 from tests.conftest import SF
 
 QUERIES = contract.queries()
@@ -66,6 +70,46 @@ def test_no_distinct_expand_in_category_performance(spark):
     assert "Expand" not in plan_of(QUERIES["q01_05_identity_audit"](spark, SF))
 
 
+def table_scans(df, table: str) -> int:
+    """How often the optimized plan reads a table, subqueries and shared parts counted each."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(table)
+
+
+def test_heatmap_plans_the_segments_once(star):
+    summary = rfm.segment_summary(rfm.rfm_segments(star))
+    assert table_scans(rfm.segment_heatmap(summary), "Relation [") == table_scans(summary, "Relation [")
+
+
+def scans_run(df) -> int:
+    """File scans of the plan as it ran, those of reused exchanges left out."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().executedPlan().toString().count("FileScan")
+
+
+def test_describe_takes_moments_from_the_value_counts(star):
+    """Quartiles alone need as many scans as the whole description."""
+    base = rfm.rfm_base(star)
+    quartiles = scans_run(quantile_row(base, rfm.rfm_measures(), {"min": 0.0, "q50": 0.5}))
+    for described in (rfm.rfm_describe(base), rfm.describe_measures(base)):
+        assert scans_run(described) == quartiles
+
+
+def test_states_of_role_tables_read_customers_once(spark):
+    def role(name: str, n: int):
+        return spark.range(n).select(*[F.col("id").cast("string").alias(c) for c in ROLE_COLUMNS[name]])
+
+    roles = {name: role(name, 5 if name == "customers" else 3) for name in ROLE_COLUMNS}
+    model = CommerceModel.from_roles(spark, roles)
+    out = build_marts(model, Parameters(min_rows=1))["funnel_by_state"]()
+    assert table_scans(out, "Range (0, 5") == 1
+    assert {r.customer_state: r.total_orders for r in out.collect()} == {"0": 1, "1": 1, "2": 1}
+
+
+def test_sketches_are_merged_in_the_map_tasks(star):
+    plan = plan_of(person_metrics(star, lg_k=12))
+    assert "partial_hll_sketch_agg" in plan and "Exchange hashpartitioning(customer_unique_id" not in plan
+
+
 def test_cohorts_shuffle_persons_once(spark):
     plan = plan_of(QUERIES["q04_02_cohort_counts"](spark, SF))
     assert plan.count("Exchange hashpartitioning(customer_unique_id") == 1 and "Window" not in plan

@@ -144,3 +144,24 @@ def test_single_column_score_matches_pandas_bins(spark):
 def test_constant_column_has_no_bins(spark):
     row = qcut_scores(base_frame(spark, [4] * 10)).first()
     assert (row["R_score"], row["F_score"], row["M_score"]) == (0, 1, 1)
+
+
+@pytest.mark.parametrize("name", ["spread", "far", "constant", "single", "signed"])
+def test_deviation_matches_numpy(spark, name):
+    rng = np.random.default_rng(3)
+    values = {
+        "spread": rng.integers(0, 2**40, 5000),
+        "far": 3 * 2**50 + rng.integers(0, 1000, 5000),
+        "constant": np.full(500, 123_456_789_012),
+        "single": np.array([42]),
+        "signed": rng.integers(-(10**9), 10**9, 5000),
+    }[name]
+    df = spark.createDataFrame([(int(v),) for v in values], "v long")
+    for descend in (True, False):
+        row = quantile_row(df, {"v": (F.col("v"), 1.0)}, {"med": 0.5}, descend=descend, deviation=True).first()
+        assert row.v_n == len(values)
+        assert row.v_mean == pytest.approx(values.mean(), rel=1e-12)
+        if len(values) == 1:
+            assert row.v_dev is None
+        elif descend or name != "far":  # the built-in aggregate loses digits far from zero
+            assert row.v_dev == pytest.approx(np.std((values - values.min()).astype(float), ddof=1), rel=1e-5)
