@@ -22,7 +22,7 @@ def product_categories(model: CommerceModel) -> DataFrame:
     ).select("product_id", "category")
 
 
-def _order_categories(model: CommerceModel, products: DataFrame, money: bool = False) -> DataFrame:
+def order_categories(model: CommerceModel, products: DataFrame, money: bool = False) -> DataFrame:
     """One row per (order, category) of the items, with ``_units`` and ``_items`` if ``money`` is asked for.
 
     Products that fit a broadcast meet the items in their scan. Otherwise items
@@ -50,19 +50,25 @@ def _products_sold(model: CommerceModel, products: DataFrame) -> DataFrame:
 
 
 def category_performance(
-    model: CommerceModel, k: int | None = 20, drop_null: bool = False, details: bool = True
+    model: CommerceModel,
+    k: int | None = 20,
+    drop_null: bool = False,
+    details: bool = True,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Orders, revenue, mean price and products per category, largest first.
 
     Orders, revenue and items come from one frame with a row per (order,
-    category), see ``_order_categories``; products from their distinct ids.
-    ``details=False`` leaves out mean price and products.
+    category), see ``order_categories``; products from their distinct ids.
+    ``details=False`` leaves out mean price and products. ``pairs`` is that frame
+    (with money) if it exists already.
     """
     products = product_categories(model)
     if drop_null:
         products = products.filter(F.col("category").isNotNull())
+        pairs = pairs.filter(F.col("category").isNotNull()) if pairs is not None else None
     sales = (
-        _order_categories(model, products, money=True)
+        (pairs if pairs is not None else order_categories(model, products, money=True))
         .groupBy("category")
         .agg(
             F.count(F.lit(1)).alias("order_cnt"),
@@ -83,15 +89,18 @@ def category_performance(
     return top_k(out, "order_cnt", k, ["category"]) if k else out
 
 
-def category_repurchase(model: CommerceModel, min_buyers: int = 500, k: int | None = 15) -> DataFrame:
+def category_repurchase(
+    model: CommerceModel, min_buyers: int = 500, k: int | None = 15, pairs: DataFrame | None = None
+) -> DataFrame:
     """Buyers per category and the share who ordered from it at least twice.
 
     Items shrink to distinct (order, category) pairs before they meet the
     orders, so the per-person count is a plain row count and no distinct is
-    needed further up.
+    needed further up. ``pairs`` are those of ``order_categories`` if they exist already.
     """
     per_person = (
-        _order_categories(model, product_categories(model))
+        (pairs if pairs is not None else order_categories(model, product_categories(model)))
+        .select("order_id", "category")
         .join(model.purchases().select("order_id", "customer_unique_id"), "order_id")
         .groupBy("customer_unique_id", "category")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -29,7 +29,8 @@ def person_metrics(model: CommerceModel, lg_k: int | None = None) -> DataFrame:
     return distinct_count(model.identities, "customer_unique_id", "unique_customers")
 
 
-def _per_order(model: CommerceModel) -> DataFrame:
+def order_sums(model: CommerceModel) -> DataFrame:
+    """Amount (in millionths) and number of items per order, which KPIs and RFM share."""
     return model.order_items.groupBy("order_id").agg(
         F.sum(minor_units("price")).alias("_units"), F.count(F.lit(1)).alias("_items")
     )
@@ -38,19 +39,20 @@ def _per_order(model: CommerceModel) -> DataFrame:
 def basket_metrics(model: CommerceModel) -> DataFrame:
     """Mean order value and items per order, over the items of all orders."""
     orders = F.count(F.lit(1)).cast("double")
-    return _per_order(model).agg(
+    return order_sums(model).agg(
         rnd(F.try_divide(major_units(total_units("_units")), F.count("_units").cast("double")), 2).alias("avg_order_value"),
         rnd(F.try_divide(F.sum("_items").cast("double"), orders), 2).alias("avg_items_per_order"),
     )
 
 
-def revenue_metrics(model: CommerceModel) -> DataFrame:
+def revenue_metrics(model: CommerceModel, sums: DataFrame | None = None) -> DataFrame:
     """Mean order value over all orders and revenue of the delivered ones.
 
-    Both come from one aggregation of the items, joined once to the statuses.
+    Both come from one aggregation of the items, joined once to the statuses;
+    ``sums`` are those of :func:`order_sums` if they exist already.
     """
     status = model.delivered(model.orders).select("order_id", F.lit(True).alias("_delivered"))
-    joined = _per_order(model).join(status, "order_id", "left")
+    joined = (sums if sums is not None else order_sums(model)).join(status, "order_id", "left")
     delivered_units = total_units(F.when(F.col("_delivered"), F.col("_units")))
     return joined.agg(
         rnd(major_units(delivered_units), 2).alias("total_gmv"),
@@ -64,12 +66,12 @@ def kpi_row(model: CommerceModel) -> DataFrame:
     return gather_row(model.spark, frames)
 
 
-def dashboard_kpis(model: CommerceModel) -> DataFrame:
+def dashboard_kpis(model: CommerceModel, sums: DataFrame | None = None) -> DataFrame:
     """The eight scalars of the dashboard."""
     frames = [
         order_metrics(model),
         person_metrics(model),
-        revenue_metrics(model),
+        revenue_metrics(model, sums),
         model.order_reviews.agg(rnd(F.avg("review_score"), 2).alias("avg_review_score")),
         model.row_source("sellers").agg(F.count(F.lit(1)).alias("sellers")),
         model.row_source("products").agg(F.count(F.lit(1)).alias("products")),

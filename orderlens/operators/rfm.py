@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from orderlens.functions.frames import as_struct, inline_table, rows_from_columns
 from orderlens.functions.labels import ascending_score, descending_score, named
-from orderlens.functions.numeric import MONEY_UNIT, major_units, minor_units, percent, rnd, total_units
+from orderlens.functions.numeric import MONEY_UNIT, major_units, percent, rnd, total_units
+from orderlens.operators.kpi import order_sums
 from orderlens.operators.quantiles import describe_numeric, quantile_row, quantile_struct
 from orderlens.operators.shares import distribution, share_of_total
 from orderlens.sources.model import CommerceModel
@@ -55,15 +56,16 @@ SHORT_SEGMENT_LABELS: dict[str, str] = {
 DIMENSION_LABELS = {"R_score": "R (Recency)", "F_score": "F (Frequency)", "M_score": "M (Monetary)"}
 
 
-def rfm_base(model: CommerceModel, as_of: date | None = None) -> DataFrame:
+def rfm_base(model: CommerceModel, as_of: date | None = None, sums: DataFrame | None = None) -> DataFrame:
     """Recency, frequency and monetary value per person with a delivered order.
 
     Recency counts days up to the day after the last purchase of all orders, or
     up to ``as_of``. Orders without items do not take part. Items are summed per
     order before the join, so the join sees one row per order on both sides.
-    ``monetary_units`` is the same amount in whole millionths.
+    ``monetary_units`` is the same amount in whole millionths. ``sums`` are the
+    amounts per order (``kpi.order_sums``) if they exist already.
     """
-    amounts = model.order_items.groupBy("order_id").agg(F.sum(minor_units("price")).alias("_units"))
+    amounts = order_sums(model) if sums is None else sums
     persons = (
         model.purchases()
         .join(amounts, "order_id")
@@ -172,9 +174,11 @@ def segment_label(code: str, labels: Mapping[str, str] = SEGMENT_LABELS) -> Colu
     return named(code, labels)
 
 
-def rfm_segments(model: CommerceModel, q: int = 5, as_of: date | None = None) -> DataFrame:
+def rfm_segments(
+    model: CommerceModel, q: int = 5, as_of: date | None = None, sums: DataFrame | None = None
+) -> DataFrame:
     """The full chain: one row per person with measures, scores and segment code."""
-    return segment_by_median(qcut_scores(rfm_base(model, as_of), q))
+    return segment_by_median(qcut_scores(rfm_base(model, as_of, sums), q))
 
 
 def segment_summary(

@@ -26,15 +26,18 @@ def build_marts(
     params: Parameters,
     segments: DataFrame | None = None,
     counts: DataFrame | None = None,
+    sums: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """Name to builder for every dashboard data set.
 
-    ``segments`` (one row per person) and ``counts`` (cohort counts) are built
-    from the model unless given, e.g. read back from a written table.
+    ``segments`` (one row per person), ``counts`` (cohort counts), ``sums`` (items
+    per order) and ``pairs`` (items per order and category) are built from the
+    model unless given, e.g. read back from a written table.
     """
 
     def scored() -> DataFrame:
-        return segments if segments is not None else rfm.rfm_segments(model)
+        return segments if segments is not None else rfm.rfm_segments(model, sums=sums)
 
     def retention() -> DataFrame:
         base = counts if counts is not None else cohort.cohort_counts(model.purchases(), PERSON, TS)
@@ -69,14 +72,14 @@ def build_marts(
         return cumulative_share(buckets, "_ord", digits=1)
 
     return {
-        "kpis": lambda: kpi.dashboard_kpis(model),
+        "kpis": lambda: kpi.dashboard_kpis(model, sums),
         "repurchase": lambda: repurchase.repurchase_rate(model.purchases()).select(
             "total_users", "repurchase_users", "repurchase_rate"
         ),
         "monthly": lambda: monthly_trend(model.delivered(model.orders), month_label(TS)),
         "status": lambda: distribution(model.orders, "order_status", "order_cnt"),
         "review_dist": lambda: distribution(model.order_reviews, "review_score", "_n").drop("_n"),
-        "categories": lambda: category.category_performance(model, k=15, drop_null=True, details=False),
+        "categories": lambda: category.category_performance(model, k=15, drop_null=True, details=False, pairs=pairs),
         "states": lambda: top_k(profile.persons_by_state(model), "customer_cnt", 10, ["customer_state"]),
         "funnel": stage_rows,
         "stage_times": stage_times,
@@ -88,7 +91,7 @@ def build_marts(
         "cohort_matrix": lambda: cohort.retention_matrix(retention(), digits=None),
         "avg_retention": lambda: cohort.retention_curve(retention(), max_offset=12),
         "windows": windows,
-        "cat_repurchase": lambda: category.category_repurchase(model, params.min_buyers).drop("repurchase_buyers"),
+        "cat_repurchase": lambda: category.category_repurchase(model, params.min_buyers, pairs=pairs).drop("repurchase_buyers"),
     }
 
 
@@ -97,9 +100,10 @@ def write_marts(
 ) -> dict[str, DataFrame]:
     """Write every mart below ``out_dir`` and return the written frames.
 
-    The person table and the cohort counts feed several marts: they are written
-    first and read back, so the heavy joins run once and a lost executor never
-    re-runs them. ``out_dir`` must be storage all executors share.
+    Items per order, items per order and category, the person table and the cohort
+    counts feed several marts: they are written first and read back, so items are
+    scanned once for each grain, the heavy joins run once and a lost executor
+    never re-runs them. ``out_dir`` must be storage all executors share.
     """
 
     def save(name: str, df: DataFrame, small: bool = True) -> DataFrame:
@@ -107,10 +111,13 @@ def write_marts(
         (df.repartition(1) if small else df).write.mode("overwrite").format(fmt).save(path)
         return model.spark.read.format(fmt).load(path)
 
-    persons = save("person_segments", rfm.rfm_segments(model), small=False)
+    sums = save("order_sums", kpi.order_sums(model), small=False)
+    products = category.product_categories(model)
+    pairs = save("order_categories", category.order_categories(model, products, money=True), small=False)
+    persons = save("person_segments", rfm.rfm_segments(model, sums=sums), small=False)
     counts = save("cohort_counts", cohort.cohort_counts(model.purchases(), PERSON, TS))
-    written = {"person_segments": persons, "cohort_counts": counts}
-    for name, build in build_marts(model, params, persons, counts).items():
+    written = {"order_sums": sums, "order_categories": pairs, "person_segments": persons, "cohort_counts": counts}
+    for name, build in build_marts(model, params, persons, counts, sums, pairs).items():
         written[name] = save(name, build())
     written["insights"] = save("insights", kpi.insights(written, params.focus_category, params.trend_start))
     return written

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from orderlens.functions.numeric import minor_units
 from orderlens.operators import category, repurchase, rfm
-from orderlens.operators.kpi import person_metrics
+from orderlens.operators.kpi import order_sums, person_metrics
 from orderlens.operators.quantiles import exact_quantiles, quantile_row
 from orderlens.operators.funnel import funnel
 from orderlens.operators.shares import distribution
@@ -80,6 +80,21 @@ def test_heatmap_plans_the_segments_once(star):
     assert table_scans(rfm.segment_heatmap(summary), "Relation [") == table_scans(summary, "Relation [")
 
 
+def test_marts_on_shared_item_sums_do_not_scan_items(star, spark, tmp_path):
+    """Figures that need items take them from the two sums, with the same values."""
+    shared = {}
+    frames = {"sums": order_sums(star), "pairs": category.order_categories(star, category.product_categories(star), money=True)}
+    for name, frame in frames.items():
+        frame.write.parquet(str(tmp_path / name))
+        shared[name] = spark.read.parquet(str(tmp_path / name))
+    given, built = build_marts(star, Parameters(min_buyers=1), **shared), build_marts(star, Parameters(min_buyers=1))
+    for name in ("categories", "cat_repurchase", "rfm"):
+        df = given[name]()
+        assert not any("lineitem" in file for file in df.inputFiles())
+        assert sorted(map(str, df.collect())) == sorted(map(str, built[name]().collect()))
+    assert given["kpis"]().first() == built["kpis"]().first()
+
+
 def scans_run(df) -> int:
     """File scans of the plan as it ran, those of reused exchanges left out."""
     df.collect()
