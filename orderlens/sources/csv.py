@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderlens.sources.model import CommerceModel
+from orderlens.sources.records import csv_records
 from orderlens.sources.schemas import COLUMN_ALIASES, ROLE_COLUMNS, ROLE_FILES
 
 # FAILFAST: a value that can't be read as its declared type is an error, not NULL.
 _OPTIONS = {"header": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
 
+# Roles with free text, whose quoted values may hold line breaks.
+_MULTI_LINE = {"order_reviews"}
+
 
 def _matches(spark: SparkSession, pattern: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -43,10 +47,11 @@ def read_role(spark: SparkSession, directory: str, role: str) -> DataFrame:
     Only header lines are looked at beforehand; types are declared, never
     inferred from the data. Columns are matched by name in each file: files with
     the same header are read together. Columns outside the role are pruned by the
-    reader. A value that does not fit its type stops the read.
+    reader. A value that does not fit its type stops the read. Files of reviews are
+    split like all others, see :mod:`orderlens.sources.records`.
     """
     paths = require_inputs(spark, directory, [role])[role]
-    reader = spark.read.options(**_OPTIONS, multiLine=role == "order_reviews")
+    reader = spark.read.options(**_OPTIONS, multiLine=role in _MULTI_LINE)
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         by_header.setdefault(tuple(reader.csv(path).columns), []).append(path)
@@ -54,6 +59,15 @@ def read_role(spark: SparkSession, directory: str, role: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _parsed(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+    """Records of files with line breaks inside values, without the header record."""
+    records = csv_records(spark, files).where(F.col("_number") > 1)
+    options = {k: str(v) for k, v in _OPTIONS.items() if k != "header"} | {"multiLine": "true"}
+    places = ", ".join(f"_c{k} {field.dataType.simpleString()}" for k, field in enumerate(schema))
+    row = records.select(F.from_csv("record", places, options).alias("_row"))
+    return row.select(*[F.col(f"_row._c{k}").alias(field.name) for k, field in enumerate(schema)])
+
+
 def _read_files(reader: DataFrameReader, header: Sequence[str], files: list[str], role: str) -> DataFrame:
     wanted = ROLE_COLUMNS[role]
     names = [COLUMN_ALIASES.get(name, name) for name in header]
@@ -64,7 +78,8 @@ def _read_files(reader: DataFrameReader, header: Sequence[str], files: list[str]
         [T.StructField(h, T._parse_datatype_string(wanted.get(n, "string"))) for h, n in zip(header, names)]
     )
     source = dict(zip(names, header))
-    df = reader.schema(schema).csv(files)
+    spark = reader._spark
+    df = _parsed(spark, files, schema) if role in _MULTI_LINE else reader.schema(schema).csv(files)
     return df.select(*[F.col(f"`{source[name]}`").alias(name) for name in wanted])
 
 
