@@ -96,14 +96,20 @@ def build_marts(
 
 
 def write_marts(
-    model: CommerceModel, out_dir: str, params: Parameters = Parameters(), fmt: str = "parquet"
+    model: CommerceModel,
+    out_dir: str,
+    params: Parameters = Parameters(),
+    fmt: str = "parquet",
+    sums: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Write every mart below ``out_dir`` and return the written frames.
 
     Items per order, items per order and category, the person table and the cohort
     counts feed several marts: they are written first and read back, so items are
     scanned once for each grain, the heavy joins run once and a lost executor
-    never re-runs them. ``out_dir`` must be storage all executors share.
+    never re-runs them. ``out_dir`` must be storage all executors share. ``sums`` and
+    ``pairs`` are used as they are if given, e.g. from facts kept by month.
     """
 
     def save(name: str, df: DataFrame, small: bool = True) -> DataFrame:
@@ -111,9 +117,11 @@ def write_marts(
         (df.repartition(1) if small else df).write.mode("overwrite").format(fmt).save(path)
         return model.spark.read.format(fmt).load(path)
 
-    sums = save("order_sums", kpi.order_sums(model), small=False)
-    products = category.product_categories(model)
-    pairs = save("order_categories", category.order_categories(model, products, money=True), small=False)
+    if sums is None:
+        sums = save("order_sums", kpi.order_sums(model), small=False)
+    if pairs is None:
+        products = category.product_categories(model)
+        pairs = save("order_categories", category.order_categories(model, products, money=True), small=False)
     persons = save("person_segments", rfm.rfm_segments(model, sums=sums), small=False)
     counts = save("cohort_counts", cohort.cohort_counts(model.purchases(), PERSON, TS))
     written = {"order_sums": sums, "order_categories": pairs, "person_segments": persons, "cohort_counts": counts}
