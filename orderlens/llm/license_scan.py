@@ -11,7 +11,7 @@
    their own. A family learns from its templates, their cuttings and thinned copies
    that still hold the marks of the family; the unknown class from other licences,
    from mixed words and from paragraphs of the corpus that are like no template:
-   at most SAMPLE distinct ones with a content word, those of smallest hash. Half of
+   of the SAMPLE distinct ones with a content word and smallest hash. Half of
    the corpus sample and copies held out fit a temperature, so the probability of the
    unknown class is calibrated on real text.
 4. A paragraph is reported if a family is likelier than unknown and reaches
@@ -255,17 +255,18 @@ def _likeness(pairs: Column, template: Column) -> Column:
 
 
 def corpus_sample(docs: DataFrame) -> list[list[str]]:
-    """Features held by at most SAMPLE distinct paragraphs that are like no template.
+    """Features held by those of the SAMPLE distinct paragraphs of smallest hash that are like no template.
 
     Paragraphs are told apart and chosen by the hash of their text, so the sample is
-    the same for any partitioning. Texts stay in Spark; one list holds at most all features.
+    the same for any partitioning. They are compared with the templates after the
+    choice. Texts stay in Spark; one list holds at most all features.
     """
     lines = _scored_paragraphs(docs).where(F.size("held") > 0)
+    chosen = lines.select(F.xxhash64("text").alias("h"), F.array_sort("held").alias("held"), "pairs")
+    chosen = chosen.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE)
     pairs = F.array_distinct("pairs")
     like = F.array_max(F.transform(_templates(), lambda t: _likeness(pairs, t)))
-    unlike = lines.where(like < UNLIKE).select(F.xxhash64("text").alias("h"), F.array_sort("held").alias("held"))
-    rows = unlike.distinct().orderBy("h", "held").limit(SAMPLE).collect()
-    return [r["held"] for r in rows]
+    return [r["held"] for r in chosen.where(like < UNLIKE).select("h", "held").orderBy("h").collect()]
 
 
 def licence_notices(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
