@@ -16,7 +16,7 @@ from orderlens.llm.decontaminate import contaminated
 from orderlens.llm.line_dedup import deduplicated_lines
 from orderlens.llm.near_dedup import near_duplicates
 from orderlens.llm.packing import packed_documents
-from orderlens.llm.store import saved
+from orderlens.llm.store import in_files, saved
 from orderlens.llm.toxicity import fit_severity, severity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -41,7 +41,7 @@ def _unpacked(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
+    return in_files(docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns), docs.count())
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Blocks that an earlier document holds go; a document of nothing else goes with them."""
     cleaned = deduplicated_lines(_packed(docs)).where("lines_removed = 0 or trim(text) <> ''")
     length = F.when(F.col("lines_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("__rest.n_chars"))
-    return _unpacked(cleaned, docs.columns, n_chars=length)
+    return in_files(_unpacked(cleaned, docs.columns, n_chars=length), docs.count())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

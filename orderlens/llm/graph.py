@@ -27,14 +27,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Works on pairs only, never on neighbour lists, so a node with very many
     links is one aggregation key and one key of a join, never one row.
-    Self links and repeated links are allowed; no links give no rows.
+    Self links and repeated links are allowed; no links give no rows. `links` is
+    read twice, first for its number of rows; no round has more edges than the last.
     """
-    edges = saved(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links"
-    )
-    mark = None
+    ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    count = links.count()
+    if not count:
+        return ordered.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    edges, mark = saved(ordered.distinct(), "links", count), None
     while True:
-        edges = saved(_small_star(_large_star(edges)).distinct(), "links")
+        edges = saved(_small_star(_large_star(edges)).distinct(), "links", mark[0] if mark else count)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break

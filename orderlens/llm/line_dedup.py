@@ -204,7 +204,7 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     held = lined.select(me, F.explode("seeds").alias("seed"))
     firsts = held.groupBy("seed").agg(F.min("me").alias("first"), F.max("me").alias("last"), F.count("*").alias("holders"))
     later = held.join(firsts.where("first <> last").select("seed", "first", "holders"), "seed").where("me > first")
-    pairs = saved(later.groupBy("me", "first").agg(F.min("holders").alias("rarity")), "pairs")
+    pairs = saved(later.groupBy("me", "first").agg(F.min("holders").alias("rarity")), "pairs", lined.count())
 
     once = lined.groupBy("id", "th").agg(*(F.first(c).alias(c) for c in ("hashes", "sizes", "places")))
     earlier = once.select(F.struct("id", "th").alias("first"), F.col("hashes").alias("a"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.graph import components
 from orderlens.llm.hashing import mix, shingle_sets
-from orderlens.llm.store import saved
+from orderlens.llm.store import FILE_ROWS, saved
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -333,11 +333,11 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["text", *SET])
 
 
-def _texts(docs: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, classes: DataFrame, several: DataFrame, files: int) -> DataFrame:
     """(node, text): one text of each class. An id in `several` has texts of several classes; those are told apart by their sets."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     clear = classes.join(several, "doc_id", "left_anti").select("doc_id", "node")
-    plain = ids.join(clear, "doc_id").groupBy("node").agg(F.max("text").alias("text"))
+    plain = ids.join(clear, "doc_id").groupBy("node").agg(F.max("text").alias("text")).coalesce(files)
     mixed = classes.join(several, "doc_id", "left_semi").select("doc_id", "node", *SET)
     told = ids.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").select("text").distinct()
     told = told.mapInArrow(_set_batches, "text string, s0 long, s1 long, n_shingles long")
@@ -351,38 +351,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id reachable over links.
     """
     rows = saved(sketch(docs), "sketches")
+    n = rows.count()
     some = rows.where("n_shingles > 0 and doc_id is not null")
     kinds = some.groupBy(*SET).agg(
         F.min("doc_id").alias("doc_id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")
     )
-    classes = saved(kinds.withColumn("node", F.monotonically_increasing_id()), "classes")
+    # Groups keep no memory of a partition that they have read, so a task may read several.
+    classes = saved(kinds.coalesce(n // FILE_ROWS + 1).withColumn("node", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = saved(keyed.join(shared, "key").select("key", "node"), "buckets")
+    buckets = saved(keyed.join(shared, "key").select("key", "node"), "buckets", n)
 
-    same_id = saved(some.groupBy("doc_id", *SET).agg(F.lit(1).alias("one")).join(classes.select(*SET, "node"), SET).select("doc_id", "node"), "held")
+    same_id = some.groupBy("doc_id", *SET).agg(F.lit(1).alias("one")).join(classes.select(*SET, "node"), SET)
+    same_id = saved(same_id.select("doc_id", "node"), "held", n)
     several = same_id.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
-    links = saved(same_id.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")), "confirmed")
-    texts = saved(_texts(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), several), "texts")
+    links = saved(same_id.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")), "confirmed", n)
+    texts = saved(_texts(docs, classes.join(buckets.select("node").distinct(), "node", "left_semi"), several, n // FILE_ROWS + 1), "texts")
 
     for salts in ([], [1, 2]):
         rooted = _with_roots(buckets, links)
         found = _confirmed(_meetings(rooted, salts), classes, texts, percent)
-        links = saved(links.unionByName(found), "confirmed")
+        links = saved(links.unionByName(found), "confirmed", n)
 
-    blocks = saved(_blocks(saved(_with_roots(buckets, links), "rooted"), classes), "blocks")
+    blocks = saved(_blocks(saved(_with_roots(buckets, links), "rooted", n), classes), "blocks", n)
     tasks = blocks.count() // TASK_ROWS + 1
     sort = lambda df: df.repartition(tasks, "block").sortWithinPartitions("block", "node")
     reach = sort(blocks.join(classes.select("node", "n_shingles", "registers"), "node")).select(
         "block", "node", "root", "straggler", "within", "n_shingles", "registers"
     )
     reach = reach.mapInArrow(_members_in_reach(percent), "block long, node long, root long, straggler boolean, within boolean")
-    last = sort(saved(reach, "reach").join(texts, "node")).select("block", "node", "root", "straggler", "within", "text")
-    links = saved(links.unionByName(last.mapInArrow(_links_in_block(percent), "a long, b long")), "confirmed")
+    last = sort(saved(reach, "reach", n).join(texts, "node")).select("block", "node", "root", "straggler", "within", "text")
+    links = saved(links.unionByName(last.mapInArrow(_links_in_block(percent), "a long, b long")), "confirmed", n)
 
     named = classes.select(*SET, "node", "doc_id").join(components(links), "node", "left")
-    named = saved(named.select(*SET, "doc_id", F.coalesce("root", "node").alias("root")), "named")
-    least = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    named = saved(named.select(*SET, "doc_id", F.coalesce("root", "node").alias("root")), "named", n)
+    least = saved(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least", n)
     named = named.join(least, "root").select(*SET, "component_id")
     out = rows.select("doc_id", *SET).join(named, SET, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
