@@ -223,21 +223,26 @@ def paragraphs(text: Column) -> Column:
     """Paragraphs of a text: lines without marks of comments, wrapped ones joined by a space."""
     lines = F.regexp_replace(text, "\r\n?", "\n")
     lines = F.regexp_replace(lines, r"(?m)^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|<!--+)[ \t]*|[ \t]+$", "")
-    wrapped = r"(?<=[^\n]{%d}[^.!?:\n])\n(?=[^\n])|(?<=[^.!?:\n])\n(?=[ \t]*[a-z(])" % WRAP
+    # The line feed stands first: what is before it is looked at only there, not at every letter.
+    wrapped = r"\n(?:(?<=[^\n]{%d}[^.!?:\n]\n)(?=[^\n])|(?<=[^.!?:\n]\n)(?=[ \t]*[a-z(]))" % WRAP
     return F.split(F.regexp_replace(lines, wrapped, " "), "\n")
 
 
+def _once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """`rows` with new columns that a later condition reads as they are, where a plain column would be computed again for it."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def _scored_paragraphs(docs: DataFrame) -> DataFrame:
     """Paragraphs that hold a content word, with words, pairs and the features they hold."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9.]*[a-z0-9])"), F.lit(1))
     pairs = lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)), lambda a, b: F.concat(a, F.lit(" "), b))
-    content, features = map(_texts, _vocabulary())
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
-        F.arrays_overlap(F.split(F.lower("text"), "[^a-z0-9.]+|[.]+(?![a-z0-9])"), content)
-    )
-    lines = told.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text")).withColumn("words", words("text"))
-    lines = lines.where(F.arrays_overlap("words", content)).withColumn("pairs", pairs(F.col("words")))
-    return lines.withColumn("held", F.array_intersect(F.concat("words", "pairs"), features))
+    content, features = _vocabulary()
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = told.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text"))
+    lines = _once(lines, words("text").alias("words")).where(F.exists("words", lambda w: w.isin(content)))
+    lines = _once(lines, pairs(F.col("words")).alias("pairs"))
+    return _once(lines, F.array_distinct(F.filter(F.concat("words", "pairs"), lambda g: g.isin(features))).alias("held"))
 
 
 def _templates() -> Column:
@@ -278,10 +283,11 @@ def licence_notices(docs: DataFrame, model: LicenseModel | None = None) -> DataF
     found = _scored_paragraphs(docs)
     weight = F.create_map(*(x for g, row in zip(model.features, model.weights) for x in (F.lit(g), _numbers(row))))
     scores = F.aggregate("held", _numbers(model.bias), lambda s, g: F.zip_with(s, weight[g], lambda a, b: a + b))
-    found = found.withColumn("scores", scores).withColumn("top", F.array_max("scores"))
+    found = _once(found, scores.alias("scores"))
+    found = _once(found, F.array_max("scores").alias("top"))
     chance = F.lit(1.0) / F.aggregate("scores", F.lit(0.0), lambda t, v: t + F.exp(v - F.col("top")))
     family = F.element_at(_texts(model.families), F.array_position("scores", F.col("top")).cast("int"))
-    found = found.withColumn("family", family).withColumn("probability", chance)
+    found = _once(found, family.alias("family"), chance.alias("probability"))
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= MIN_PROBABILITY))
 
     marks = F.array_intersect(F.concat("words", "pairs"), _texts(MARKS))

@@ -97,3 +97,25 @@ def test_every_planted_line_is_found_and_prose_left_alone(spark, model):
     want = {(r.doc_id, r.l) for r in lines.collect()}
     got = {(r.doc_id, r.text) for r in scan.licence_notices(docs, model).where("confirmed").collect()}
     assert got == want
+
+
+def test_lines_are_joined_as_before(spark):
+    long = "a" * 40
+    texts = {
+        f"{long}b\nNext": [f"{long}b Next"],
+        f"{long}.\nNext": [f"{long}.", "Next"],
+        "short\nNext": ["short", "Next"],
+        "short\n  next": ["short   next"],
+        "short.\nnext": ["short.", "next"],
+        f"{long}b\n\nNext": [f"{long}b", "", "Next"],
+        f"one\ntwo\n(three)\n{long}b\nFour": [f"one two (three) {long}b Four"],
+        "\nnext\n": ["", "next", ""],
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scan.paragraphs(scan.F.col("t")).alias("p")).collect()
+    assert {r.t: r.p for r in rows} == texts
+
+
+def test_words_and_scores_are_computed_once(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
+    plan = scan.licence_notices(docs, scan.fit_licenses())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("zip_with(lambda") <= 1
