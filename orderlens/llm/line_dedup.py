@@ -217,7 +217,9 @@ def deduplicated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     keyed = docs.drop("n_lines", "lines_removed").withColumn("__id", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64(text))
     gone = gone.withColumnsRenamed({"id": "__id", "th": "__th"})
     parts = F.split("text", "\n")
-    left = F.pandas_udf(_left, "string")(F.when(F.col("__gone").isNotNull(), text), F.col("__gone"))  # other rows send no text to Python
+    # Else a filter on the result gets a call of its own, and each task a second Python worker that stays.
+    once_only = F.pandas_udf(_left, "string").asNondeterministic()
+    left = once_only(F.when(F.col("__gone").isNotNull(), text), F.col("__gone"))  # other rows send no text to Python
     return (
         keyed.join(gone, ["__id", "__th"], "left")
         .withColumn("n_lines", F.when(F.length("text") > 0, F.size(parts)).otherwise(0))
